@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
+from . import exact_dedup, url_filter
 
 #: The rule list of op10: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -20,9 +20,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op10_url_filter": op10_url_filter}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
+    "op7_exact_dedup": r"""
+with docs as (
+  select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+keyed as (select doc_id, length(text) as n_points, sha256(norm) as text_sha256 from docs)
+select doc_id, first_value(doc_id) over (partition by text_sha256 order by n_points desc, doc_id) as keep_id,
+  count(*) over (partition by text_sha256) as group_size,
+  doc_id = first_value(doc_id) over (partition by text_sha256 order by n_points desc, doc_id) as kept, text_sha256
+from keyed
+""",
     "op10_url_filter": r"""
 with cut as (
   select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
