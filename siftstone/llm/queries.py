@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, simhash, url_filter
 
 #: The rule list of op10: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -24,7 +24,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_url_filter": op10_url_filter}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op7_exact_dedup": r"""
