@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def chunked(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Itera
     for batch in batches:
         start = 0
         sizes = np.zeros(batch.num_rows, np.int64)
-        offsets = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        offsets = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         sizes += np.nan_to_num(offsets.to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         for i in range(batch.num_rows):
             size += int(sizes[i]) + 16
