@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, remove, scratch, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A store is closed once its task has committed, so that a worker's disk holds those at work and not all partitions'.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 KEYS = "doc_id bigint, digest string, n_points bigint, locator string"
 
 
@@ -59,8 +64,9 @@ def follow(stream: DataFrame, state_dir: str, groups_dir: str, **trigger) -> Non
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{groups_dir}/batch={number}")
 
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             seen.writeStream.outputMode("update")
@@ -71,7 +77,8 @@ def follow(stream: DataFrame, state_dir: str, groups_dir: str, **trigger) -> Non
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def current(spark: SparkSession, groups_dir: str) -> DataFrame:
