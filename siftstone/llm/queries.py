@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, simhash, url_filter
+from . import decontaminate, exact_dedup, langid, mixing, simhash, url_filter
 
 #: The rule list of op10: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -38,12 +38,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op7_exact_dedup": op7_exact_dedup, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op3_decontaminate": r"""
