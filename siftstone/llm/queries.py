@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, mixing, simhash, url_filter
+from . import decontaminate, exact_dedup, langid, mixing, simhash, url_filter, warc
 
 #: The rule list of op10: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -20,6 +20,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -48,9 +52,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_warc": op1_warc, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
+    "op1_warc": r"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+b as (select *, max(page_id) over (partition by payload_digest) as best from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> best then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> best then best end as refers_to
+from b
+""",
     "op3_decontaminate": r"""
 with split as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
