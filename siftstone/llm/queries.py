@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_blocks, langid, mixing, simhash, url_filter, warc
+from . import decontaminate, exact_dedup, html_blocks, langid, mixing, simhash, substrings, url_filter, warc
 
 #: The rule list of op10: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -42,6 +42,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"), html_blocks.train().p)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op5_html_text": op5_html_text, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_warc": op1_warc, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op1_warc": r"""
