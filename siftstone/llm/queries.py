@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_blocks, langid, mixing, simhash, substrings, url_filter, warc
+from . import decontaminate, exact_dedup, html_blocks, langid, lbl, mixing, simhash, substrings, url_filter, warc
 
 #: The rule list of op10: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -24,6 +24,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -60,7 +64,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_warc": op1_warc, "op2_log_bilinear": op2_log_bilinear, "op3_decontaminate": op3_decontaminate, "op4_language_id": op4_language_id, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op1_warc": r"""
