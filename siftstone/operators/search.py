@@ -184,6 +184,10 @@ def query_terms(vocab: DataFrame, words: list[str], complete: bool = False) -> l
                 held += [r["term"] for r in beginning(vocab, stem, SLAVIC).collect()]
             if k == len(words) - 1 and len(w) >= MIN_PREFIX and not complete:
                 held += [r["term"] for r in beginning(vocab, w).collect()]
+                # an article still too short to be cut from the word as typed
+                article = next((a for a in text.ARTICLES if w.startswith(a) and len(w) - len(a) >= 2), None)
+                if article:
+                    held += [r["term"] for r in beginning(vocab, w[len(article) :]).collect()]
         others = sorted(set(held) - {w})
         out += [(k, w, EXACT if others else 1.0), *((k, t, 1.0) for t in others)]
     return out

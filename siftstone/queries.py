@@ -545,7 +545,7 @@ def sentence_relevance(spark, d):
 
 @query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
-select user_id, epoch(min(ts))::bigint as start, epoch(max(ts) + interval 30 minute)::bigint as "end", count(*) as n from s group by user_id, k""")
+select user_id, floor(epoch(min(ts)))::bigint as start, floor(epoch(max(ts) + interval 30 minute))::bigint as "end", count(*) as n from s group by user_id, k""")
 def session_debounce(spark, d):
     s = reconcile.sessions(src.read(spark, d, "events"), gap="30 minutes")
     return s.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n")
