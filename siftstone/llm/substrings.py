@@ -34,7 +34,9 @@ from .lpf import longest_previous_factor
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 PAD = 96
-CHUNK = 8 << 20
+CHUNK, SLICE = 8 << 20, 1 << 20
+#: Contexts that are put into one text
+TOGETHER = 20_000
 HOT = 20_000
 #: Stands for a null doc_id: later than all others
 LAST = (1 << 63) - 1
@@ -209,26 +211,59 @@ def _find(docs: DataFrame, parts: int, n_buckets: int, chunk: int) -> DataFrame:
     def run(batches):
         for table in chunked(batches, "text", chunk):
             doc, variant, texts = _rows(table)
-            buf, starts, lengths = layout(texts)
-            at, h = anchors(buf, starts, lengths)
-            which = np.searchsorted(starts, at, "right") - 1
-            pos = at - starts[which]
-            ctx = context_hashes(buf, at, pos, lengths[which] - pos)
-            yield _batch(list(_entries(h, ctx, doc[which], variant[which], pos, REACH, LENGTH, parts, n_buckets)))
+            ends = np.cumsum([len(t) for t in texts]) if texts else np.empty(0)
+            found = []
+            # anchors are sought in a slice of the documents at a time, as that takes many times a slice's memory
+            for k in range(int(ends[-1] // SLICE) + 1 if len(ends) else 0):
+                # a document belongs to the slice in which it ends
+                s, e = np.searchsorted(ends, [k * SLICE, (k + 1) * SLICE])
+                if s < e:
+                    found.append(_anchored(doc[s:e], variant[s:e], texts[s:e]))
+            if found:
+                h, ctx, d, v, pos = (np.concatenate(x) for x in zip(*found))
+                yield _batch(list(_entries(h, ctx, d, v, pos, REACH, LENGTH, parts, n_buckets)))
 
     return docs.mapInArrow(run, OUT)
 
 
-def _resolve(entries: DataFrame, before: int, size: int, n_buckets: int, hot: int, ask: bool) -> DataFrame:
-    """By anchor: spans of covered entries; ask: requests for the contexts of anchors that have several."""
+def _anchored(doc: np.ndarray, variant: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(anchor, context, doc, variant, position) of all anchors of the texts."""
+    buf, starts, lengths = layout(texts)
+    at, h = anchors(buf, starts, lengths)
+    which = np.searchsorted(starts, at, "right") - 1
+    pos = at - starts[which]
+    return h, context_hashes(buf, at, pos, lengths[which] - pos), doc[which], variant[which], pos
+
+
+def _kinds(table: pa.Table) -> tuple[dict[str, list[bytes]], list[tuple[str, int, bytes]]]:
+    """The blobs of a group by kind, and its spans, which only pass through."""
+    blobs: dict[str, list[bytes]] = {}
+    spans = []
+    for row in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "blob"))):
+        if row[0] == "span":
+            spans.append(row)
+        else:
+            blobs.setdefault(row[0], []).append(row[2])
+    return blobs, spans
+
+
+def _covered(blobs: list[bytes], before: int, size: int, n_buckets: int):
+    """(spans of the entries that an earlier document covers, what settle() found)."""
+    h, ctx, doc, variant, pos = _unpack(blobs, ENTRY)
+    pos = pos.astype(np.int64)
+    order, new, group, covered = settle(h, ctx, doc)
+    hit = order[covered]
+    return list(_spans(doc[hit], variant[hit], pos[hit] - before, pos[hit] + size, n_buckets)), (h, ctx, doc, variant, pos, order, new, group, covered)
+
+
+def _resolve(found: DataFrame, parts: int, n_buckets: int, hot: int) -> DataFrame:
+    """By anchor: spans of covered entries, and requests for the contexts of anchors that have several."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, ctx, doc, variant, pos = _unpack(table.column("blob").to_pylist(), ENTRY)
-        pos = pos.astype(np.int64)
-        order, new, group, covered = settle(h, ctx, doc)
-        hit = order[covered]
-        rows = list(_spans(doc[hit], variant[hit], pos[hit] - before, pos[hit] + size, n_buckets))
-        if ask and len(order):
+        blobs, rows = _kinds(table)
+        more, (h, ctx, doc, variant, pos, order, new, group, covered) = _covered(blobs.get("entry", []), REACH, LENGTH, n_buckets)
+        rows += more
+        if len(order):
             hs, ds = h[order], doc[order]
             anchor = np.r_[True, hs[1:] != hs[:-1]]
             begins = np.flatnonzero(anchor)
@@ -245,7 +280,12 @@ def _resolve(entries: DataFrame, before: int, size: int, n_buckets: int, hot: in
                 rows += list(_deal(kind, bucket_of(doc[x], n_buckets), [h[x], ctx[x], doc[x], variant[x], pos[x].astype("<u4")]))
         return pa.Table.from_batches([_batch(rows)])
 
-    return entries.groupBy("part").applyInArrow(run, OUT)
+    return _by_part(found, parts).applyInArrow(run, OUT)
+
+
+def _by_part(rows: DataFrame, parts: int):
+    """Entries and contexts by part; spans, whose part is a bucket, anywhere."""
+    return rows.groupBy(F.pmod("part", F.lit(parts)))
 
 
 def _answer(docs: DataFrame, asks: DataFrame, parts: int, n_buckets: int) -> DataFrame:
@@ -274,7 +314,7 @@ def _answer(docs: DataFrame, asks: DataFrame, parts: int, n_buckets: int) -> Dat
                     for s, e in zip(cuts, [*cuts[1:], len(order)]):
                         at = order[s:e]
                         body = np.ascontiguousarray(view[starts[which[at]] + low[at]])
-                        cols = [d[at], v[at], low[at].astype("<u4"), (high - low)[at].astype("<u2")]
+                        cols = [h[at], d[at], v[at], low[at].astype("<u4"), (high - low)[at].astype("<u2")]
                         rows.append(("context", int(part[order[s]]), _pack([*cols, body.reshape(-1).view(f"V{REACH + LENGTH}")])))
                 else:
                     n = high - low - LENGTH + 1
@@ -291,23 +331,43 @@ def _answer(docs: DataFrame, asks: DataFrame, parts: int, n_buckets: int) -> Dat
     return docs.groupBy("bucket").cogroup(asks.withColumnRenamed("part", "bucket").groupBy("bucket")).applyInArrow(run, OUT)
 
 
-def _compare(contexts: DataFrame, n_buckets: int) -> DataFrame:
-    """Spans of strings that an earlier document's context has, by the longest-previous-factor array of each part."""
+def _compare(answered: DataFrame, parts: int, n_buckets: int) -> DataFrame:
+    """Spans of strings that an earlier document has: of contexts by longest-previous-factor arrays, of single strings by hash."""
     width = REACH + LENGTH
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, variant, low, size, body = _unpack(table.column("blob").to_pylist(), ["<i8", "<u2", "<u4", "<u2", f"V{width}"])
-        text = np.frombuffer(body.tobytes(), np.uint8).reshape(-1, width)
+    def shared(doc, size, body):
+        """(context, place) of each string of the contexts that a smaller doc's context has."""
+        text = body.reshape(-1, width)
         owner = np.unique(doc, return_inverse=True)[1].astype(np.int64)
         # a string counts, on either side, where it lies within its context
         fits = np.arange(width)[None, :] + LENGTH <= size[:, None]
         of = np.where(fits, owner[:, None], len(owner))
         factor = longest_previous_factor(text.reshape(-1), of.reshape(-1), LENGTH).reshape(-1, width)
-        row, at = np.nonzero((factor >= LENGTH) & fits)
-        start = low[row].astype(np.int64) + at
-        return pa.Table.from_batches([_batch(list(_spans(doc[row], variant[row], start, start + LENGTH, n_buckets)))])
+        return np.nonzero((factor >= LENGTH) & fits)
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs, rows = _kinds(table)
+        rows += _covered(blobs.get("entry", []), 0, LENGTH, n_buckets)[0]
+        h, doc, variant, low, size, body = _unpack(blobs.get("context", []), ["<u8", "<i8", "<u2", "<u4", "<u2", f"V{width}"])
+        order = np.argsort(h, kind="stable")
+        body = body.view(np.uint8).reshape(-1, width) if len(body) else np.empty((0, width), np.uint8)
+        start = 0
+        while start < len(order):
+            # as many anchors as fit; an anchor's contexts stay together
+            end = min(start + TOGETHER, len(order))
+            if end < len(order):
+                cut = end
+                while cut > start and h[order[cut]] == h[order[cut - 1]]:
+                    cut -= 1
+                end = cut if cut > start else int(np.searchsorted(h[order], h[order[start]], "right"))
+            at = order[start:end]
+            row, place = shared(doc[at], size[at], body[at])
+            begin = low[at][row].astype(np.int64) + place
+            rows += list(_spans(doc[at][row], variant[at][row], begin, begin + LENGTH, n_buckets))
+            start = end
+        return pa.Table.from_batches([_batch(rows)])
 
-    return contexts.groupBy("part").applyInArrow(run, OUT)
+    return _by_part(answered, parts).applyInArrow(run, OUT)
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -352,10 +412,7 @@ def dedup(docs: DataFrame, keep_text: bool = False, chunk: int = CHUNK, hot: int
     n_buckets, parts = bucket_count(spark, total, 8 << 20), bucket_count(spark, total, 24 << 20)
     packed = packed_buckets(rows, "doc", ["text", "doc"], n_buckets, chunk)
 
-    found = stage(_find(rows, parts, n_buckets, chunk), "anchors")
-    first = stage(_resolve(found.where("kind = 'entry'"), REACH, LENGTH, n_buckets, hot, True), "resolved")
-    answered = stage(_answer(packed, first.where("kind in ('ask', 'hot')"), parts, n_buckets), "answers")
-    compared = _compare(answered.where("kind = 'context'"), n_buckets)
-    strings = _resolve(answered.where("kind = 'entry'"), 0, LENGTH, n_buckets, hot, False)
-    spans = found.where("kind = 'span'").union(first.where("kind = 'span'")).union(answered.where("kind = 'span'")).union(compared).union(strings.where("kind = 'span'"))
+    first = stage(_resolve(_find(rows, parts, n_buckets, chunk), parts, n_buckets, hot), "resolved")
+    answered = _answer(packed, first.where("kind in ('ask', 'hot')"), parts, n_buckets)
+    spans = first.where("kind = 'span'").union(_compare(answered, parts, n_buckets))
     return _apply(packed, spans, keep_text)
