@@ -109,7 +109,8 @@ def search_names(files: DataFrame, words: list[str], limit: int | None = 50, gra
     if not plan.must:
         return files.select("*", F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("double").alias("score")).limit(0)
     grams = name_grams(files) if grams is None else grams
-    stats = grams.groupBy("path").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    # a path has dl rows, so their inverses add up to the number of paths; nothing is grouped by path for it
+    stats = grams.agg(F.round(F.sum(1 / F.col("dl"))).alias("n"), F.count(F.lit(1)).alias("rows")).select("n", (F.col("rows") / F.col("n")).alias("avgdl"))
     hit = grams.where(F.col("gram").isin(*plan.must))
     df = hit.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     scored = hit.join(F.broadcast(df), "gram").crossJoin(F.broadcast(stats))  # df has a row for each gram of the query, stats one
