@@ -5,20 +5,27 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_ranks(text: np.ndarray, limit: int) -> list[np.ndarray]:
-    """Ranks of the suffixes by their first 1, 2, 4, ... bytes, up to a length of at least limit.
+def suffix_ranks(text: np.ndarray, limit: int) -> np.ndarray:
+    """Ranks of the suffixes by their first limit bytes; equal where those are equal. Shorter suffixes equal none.
 
-    text: uint8. What lies beyond the end sorts before every byte.
+    text: uint8. Ranks start from words of eight bytes where limit allows, and double the length that they tell apart.
     """
-    ranks = [text.astype(np.int64) + 1]
-    n, step = len(text), 1
-    while step < limit and n:
+    n = len(text)
+    if limit >= 8:
+        padded = np.r_[text, np.zeros(8, np.uint8)]
+        words = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64)
+        rank, step = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+    else:
+        rank, step = text.astype(np.int64), 1
+    while step < limit:
+        take = min(step, limit - step)
         low = np.zeros(n, np.int64)
-        low[: max(0, n - step)] = ranks[-1][step:]
-        key = ranks[-1] * (int(low.max()) + 1) + low
-        ranks.append(np.unique(key, return_inverse=True)[1].astype(np.int64) + 1)
-        step *= 2
-    return ranks
+        low[: max(0, n - take)] = rank[take:]
+        rank = np.unique(rank * (int(low.max()) + 1) + low, return_inverse=True)[1].astype(np.int64)
+        step += take
+    short = np.arange(max(0, n - limit + 1), n)
+    rank[short] = n + short
+    return rank
 
 
 def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +64,11 @@ def longest_previous_factor(text: np.ndarray, owner: np.ndarray, limit: int) ->
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    ranks = suffix_ranks(text, limit)
-    order = np.argsort(ranks[-1], kind="stable")
-    a, b = order[:-1], order[1:]
+    rank = suffix_ranks(text, limit)
+    order = np.argsort(rank, kind="stable")
+    # common prefixes of neighbours, of which only those of limit bytes are told apart from none
     common = np.zeros(n, np.int64)
-    reach = np.zeros(n - 1, np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        step = 1 << level
-        x, y = a + reach, b + reach
-        inside = (x + step <= n) & (y + step <= n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = ranks[level][x[inside]] == ranks[level][y[inside]]
-        reach += same * step
-    common[1:] = np.minimum(reach, limit)
+    common[1:] = limit * (rank[order[1:]] == rank[order[:-1]])
     who = owner[order]
     _, before = nearest_smaller(who, common, limit)
     back = np.r_[0, common[1:][::-1]] if n > 1 else np.zeros(n, np.int64)
