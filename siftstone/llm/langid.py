@@ -20,6 +20,8 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Learned texts and dictionary bytes for each language, and bytes that one text may give
 TEXTS, DICT_BYTES, TEXT_BYTES = 400, 112 << 10, 2 << 10
 LEVEL = 9
+#: Parts of a language's rows that are ranked apart
+SHARES = 64
 #: A prediction is rejected when the best size isn't this share below the next
 MARGIN = 0.004
 
@@ -38,8 +40,11 @@ def learn(docs: DataFrame, usable: Column | None = None, texts: int = TEXTS, dic
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= texts).select("doc_id", "lang")
+    # ranked among a share of a language's rows first, so that no task ranks more than SHARES times texts of one
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for by in (["lang", F.pmod("h", F.lit(SHARES))], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("rank") <= texts).drop("rank")
+    ids = ids.drop("h")
     chosen = ids.distinct().collect()
     langs = {r["lang"] for r in chosen}
     if len(langs) > max_langs:
