@@ -113,20 +113,21 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     hits = groups.where("n > 1").select("digest", "keep_id")
     held = docs.select("doc_id", digest(norm).alias("digest"), norm.alias("norm")).join(hits, "digest")
     held = stage(held, "hits")
-    reps = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("norm").alias("rep"))
+    # written down, so that both sides of the join are plain shuffles, which Spark can split at a hot digest
+    reps = stage(held.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("norm").alias("rep")), "reps")
     clash = held.join(reps, "digest").where(F.col("norm") != F.col("rep")).select("digest").distinct()
     clash = checkpoint(clash)
 
-    clean = groups.join(clash, "digest", "left_anti")
-    out = keys.select("doc_id", "digest").join(clean, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("digest"))
     if digest is not sha256 or not clash.isEmpty():
-        out = _settled(docs, digest, keys, groups, clash)
+        out = _settled(docs, digest, groups, clash)
+    else:
+        out = keys.select("doc_id", "digest").join(groups, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest")
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
-def _settled(docs: DataFrame, digest, keys: DataFrame, groups: DataFrame, clash: DataFrame) -> DataFrame:
+def _settled(docs: DataFrame, digest: Callable[[Column], Column], groups: DataFrame, clash: DataFrame) -> DataFrame:
     """For digests that several texts share: the groups by full text, beside those of the other digests."""
     norm = normalised(F.col("text"))
     rows = docs.select("doc_id", digest(norm).alias("digest"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_points"))
