@@ -134,6 +134,22 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in langid.identify(docs(spark, rows), {}).collect()} == {"und"}
 
 
+def test_margin_does_not_shrink_with_length(monkeypatch):
+    r = random.Random(8)
+    speak = {lang: ["".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(4000)] for lang, letters in (("en", "abcdefghijk"), ("de", "ghijklmnopq"))}
+    say = lambda lang, n: " ".join(r.choice(speak[lang]) for _ in range(n))
+    model = tuple((lang, langid._dictionary([langid.cleaned(say(lang, 300)) for _ in range(100)], langid.DICT_BYTES)) for lang in sorted(speak))
+    long = say("en", 600_000)
+    short = langid.predict(long[:150_000], model)
+    got = langid.predict(long, model)
+    assert got[0] == short[0] == "en" and not got[3] and got[2] > short[2] / 3
+    # every part of the text counts: the larger share names it, wherever it stands
+    assert langid.predict(say("en", 30_000) + " " + say("de", 200_000), model)[0] == "de"
+    assert b"".join(langid.blocks(langid.cleaned(long))) == langid.cleaned(long)
+    monkeypatch.setattr(langid, "BLOCK_BYTES", 1 << 40)
+    assert langid.predict(long, model)[3]
+
+
 # mixing
 
 
