@@ -11,7 +11,7 @@ searched block by block against all shards.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -46,11 +46,12 @@ def windows(item: list[bytes], width: int = WINDOW) -> list[tuple[bytes, ...]]:
 def build_index(docs: DataFrame, terms: set[bytes] | None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(shard, term, n, postings), and for each shard a row without term whose postings are its documents.
 
-    terms None: every term of the corpus. A posting list is a compressed array of position differences.
+    terms None: every term of the corpus. A posting list is a compressed array of position differences. A shard is
+    named by the numbers of its partition and of its chunk there, which no other has, whatever its rows hold.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunked(batches, "text", shard_bytes):
+        for number, table in enumerate(chunked(batches, "text", shard_bytes)):
             ids: dict[bytes, int] = {t: i for i, t in enumerate(sorted(terms))} if terms is not None else {}
             found, sizes = [], []
             base = 0
@@ -72,7 +73,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None, shard_bytes: int = SH
             ends = np.r_[starts[1:], len(codes)].astype(np.int64)
             names = list(ids)
             id_col = table.column("doc_id").combine_chunks().cast(pa.int64())
-            key = hashlib.sha256(repr((id_col.to_pylist()[:1000], base, len(sizes))).encode() + np.asarray(sizes, np.int64).tobytes()).hexdigest()[:24]
+            key = f"{table.column('part')[0].as_py()}-{number}"
             head = pa.record_batch([id_col, pa.array(sizes, pa.int64())], names=["doc_id", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
@@ -84,7 +85,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None, shard_bytes: int = SH
                 names=["shard", "term", "n", "postings"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "shard string, term binary, n bigint, postings binary")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "spark_partition_id() as part").mapInArrow(run, "shard string, term binary, n bigint, postings binary")
 
 
 def _encode(at: np.ndarray) -> bytes:
@@ -195,7 +196,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     of exact phrases, places where all words of a window stand within slop words of its rarest one.
     """
     out = None
-    for plan in _plans(benchmark, width, block_words):
+    plans = _plans(benchmark, width, block_words)
+    ahead = list(itertools.islice(plans, 2))
+    if len(ahead) > 1:
+        # written down, so that the shards of all blocks are cut alike
+        docs = stage(docs.select("doc_id", "text"), "documents")
+    for plan in itertools.chain(ahead, plans):
         terms = {t for w, _ in plan for t in w}
         index = stage(build_index(docs, terms, shard_bytes), "postings")
         counts = sorted(((r["n"], bytes(r["term"])) for r in frequencies(index).toLocalIterator()))

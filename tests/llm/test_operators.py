@@ -98,6 +98,22 @@ def test_decontaminate(spark, block_words, shard_bytes):
     assert sorted(((*x[:4], list(x[4]), x[5]) for x in (tuple(g) for g in got)), key=str) == slow_hits(rows, items)
 
 
+@pytest.mark.parametrize("block_words", [4_000_000, 60])
+def test_decontaminate_equal_chunks(spark, block_words):
+    """Chunks with equal doc_ids and word counts are different ones: a table twice, and rows each alone in a chunk."""
+    r = random.Random(12)
+    say = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    items = [(k, say(40)) for k in range(4)]
+    clean = [say(30) for _ in range(3)]
+    texts = [*clean, *(" ".join(t.split()[3:33]) for _, t in items)]
+    rows = [(None, t, "en", "a") for t in texts] + [(7, texts[3], "en", "a")] * 3 + [(8, texts[0], "en", "a"), (8, texts[4], "en", "a")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    alone = docs(spark, rows).coalesce(1)
+    run = lambda df, size: sorted(((*x[:4], list(x[4]), x[5]) for x in (tuple(g) for g in decontaminate.contamination(df, bench, block_words=block_words, shard_bytes=size).collect())), key=str)
+    assert run(alone, 1) == slow_hits(rows, items)
+    assert run(alone.union(alone), 8 << 20) == slow_hits(rows + rows, items)
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [x["n_hit"] for x in decontaminate.contamination(docs(spark, EDGES), none).collect()] == [0] * len(EDGES)
