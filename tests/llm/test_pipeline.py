@@ -72,3 +72,23 @@ def test_pipeline(spark, tmp_path):
     frame(rows).limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+@pytest.mark.parametrize("name", ["exact_dedup", "near_dedup", "decontamination"])
+def test_rows_are_judged_one_by_one(spark, tmp_path, name):
+    """Rows with a null or repeated doc_id stay or go by their own text, and of equal rows one stays."""
+    r = random.Random(13)
+    say = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    item, clean = say(30), [say(120) for _ in range(6)]
+    bad = say(60) + " " + item
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    gone = {
+        "exact_dedup": [(None, clean[3]), (5, clean[2]), (3, clean[3]), (3, clean[3])],
+        "near_dedup": [(None, clean[3] + " x"), (5, clean[2] + " x"), (3, clean[3] + " y")],
+        "decontamination": [(None, bad), (5, bad), (5, bad)],
+    }[name]
+    kept = [(None, clean[0]), (None, clean[1]), (1, clean[2]), (2, clean[3]), (5, clean[4]), (3, clean[5])]
+    frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in gone + kept], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = dict(corpus_pipeline.STAGES)[name](spark, frame.repartition(3), str(tmp_path))
+    assert got.columns == frame.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted(kept, key=str)
