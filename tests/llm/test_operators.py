@@ -34,35 +34,46 @@ EDGES = [(500, None, None, None), (501, "", "en", "a"), (502, " \n\t", "fr", Non
 
 
 def slow_exact(rows):
+    """Of rows that agree in all that decides, the first is kept; which it is doesn't show in the result."""
     groups = {}
     for d, t, *_ in rows:
         norm = "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")
         groups.setdefault(norm, []).append((d, len(t or "")))
     out = []
     for norm, g in groups.items():
-        keep = min(g, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[0]
-        out += [(d, keep, len(g), d == keep, hashlib.sha256(norm.encode()).hexdigest()) for d, _ in g]
+        best = min(range(len(g)), key=lambda k: (-g[k][1], g[k][0] is None, g[k][0] or 0))
+        out += [(d, g[best][0], len(g), k == best, hashlib.sha256(norm.encode()).hexdigest()) for k, (d, _) in enumerate(g)]
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda norm: (F.crc32(norm) % 7).cast("string")])
 def test_exact_dedup(spark, digest):
     rows = make(1, 60) + EDGES + [(600, "Wo rd", "en", "a"), (601, " W o r d ", None, None), (602, " W o r d ", None, None)]
+    rows += [(5, "same text", "en", "a")] * 2 + [(None, "null", "en", "a")] * 3
     got = exact_dedup.exact_dedup(docs(spark, rows), digest, files_per_batch=2).collect()
-    assert sorted((tuple(x) for x in got), key=str) == slow_exact(rows)
+    assert sorted((tuple(x)[:5] for x in got), key=str) == slow_exact(rows)
+    assert len({x["locator"] for x in got}) == len(rows)
+    assert exact_dedup.exact_dedup(docs(spark, rows).limit(0)).collect() == []
+
+
+def test_exact_dedup_with_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE_GROUP", 2)
+    rows = make(9, 40, 3) + [(k, "a copy", "en", "a") for k in range(100, 130)]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert sorted((tuple(x)[:5] for x in got), key=str) == slow_exact(rows)
 
 
 def test_exact_dedup_goes_on(spark, tmp_path):
     """A stream that starts again knows what it has seen."""
     a, b = docs(spark, [(2, "same", "", ""), (3, "other", "", "")]), docs(spark, [(1, "sa me", "", ""), (4, "same", "", "")])
-    exact_dedup.arrivals(a).write.parquet(str(tmp_path / "in/1"))
+    exact_dedup.arrivals(exact_dedup.located(a)).write.parquet(str(tmp_path / "in/1"))
     for n, more in ((1, b), (2, None)):
         stream = spark.readStream.schema(exact_dedup.KEYS).parquet(str(tmp_path / "in/*"))
         exact_dedup.follow(stream, str(tmp_path / "state"), str(tmp_path / "groups"))
         got = {r["keep_id"]: r["n"] for r in exact_dedup.current(spark, str(tmp_path / "groups")).collect()}
         assert got == ({2: 1, 3: 1} if n == 1 else {1: 3, 3: 1})
         if more is not None:
-            exact_dedup.arrivals(more).write.parquet(str(tmp_path / "in/2"))
+            exact_dedup.arrivals(exact_dedup.located(more)).write.parquet(str(tmp_path / "in/2"))
 
 
 # decontamination
