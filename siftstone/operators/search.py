@@ -23,7 +23,8 @@ CEILING = 5000
 
 def name_grams(files: DataFrame) -> DataFrame:
     """(gram, path, dl): the grams of each name and how many it has."""
-    grams = text.name_grams(text.name_text(text.name_words(F.col("name"))))
+    # the name's text is bound to a variable: slices are taken from its value, not from its expression over and over
+    grams = F.transform(F.array(text.name_text(text.name_words(F.col("name")))), text.name_grams)[0]
     return files.select("path", grams.alias("grams")).select(F.explode("grams").alias("gram"), "path", F.size("grams").alias("dl"))
 
 
@@ -99,18 +100,20 @@ def quality(words: tuple[str, ...]) -> Column:
     return total
 
 
-def search_names(files: DataFrame, words: list[str], limit: int | None = 50, grams: DataFrame | None = None) -> DataFrame:
+def search_names(files: DataFrame, words: list[str], limit: int | None = 50, grams: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """files that have all words in their names, best first: (files..., whole, quality, score).
 
     Candidates come from the gram table by intersecting posting lists, counted before anything else is read; every
-    candidate is then judged, so no ceiling cuts the result. Order: whole name, quality, score, day, path.
+    candidate is then judged, so no ceiling cuts the result. Order: whole name, quality, score, day, path. stats: one
+    row (n, avgdl) of the gram table, where an index keeps it.
     """
     plan = plan_name(words)
     if not plan.must:
         return files.select("*", F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("double").alias("score")).limit(0)
     grams = name_grams(files) if grams is None else grams
     # a path has dl rows, so their inverses add up to the number of paths; nothing is grouped by path for it
-    stats = grams.agg(F.round(F.sum(1 / F.col("dl"))).alias("n"), F.count(F.lit(1)).alias("rows")).select("n", (F.col("rows") / F.col("n")).alias("avgdl"))
+    if stats is None:
+        stats = grams.agg(F.round(F.sum(1 / F.col("dl"))).alias("n"), F.count(F.lit(1)).alias("rows")).select("n", (F.col("rows") / F.col("n")).alias("avgdl"))
     hit = grams.where(F.col("gram").isin(*plan.must))
     df = hit.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     scored = hit.join(F.broadcast(df), "gram").crossJoin(F.broadcast(stats))  # df has a row for each gram of the query, stats one
@@ -194,20 +197,23 @@ def query_terms(vocab: DataFrame, words: list[str], complete: bool = False) -> l
     return out
 
 
-def search_content(postings: DataFrame, lengths: DataFrame, terms: list[tuple[int, str, float]], tf: bool = True, limit: int | None = 50) -> DataFrame:
+def search_content(postings: DataFrame, lengths: DataFrame, terms: list[tuple[int, str, float]], tf: bool = True, limit: int | None = 50, stats: DataFrame | None = None) -> DataFrame:
     """(path, score) of documents that have a form of every word, by the sum of their forms' scores.
 
-    tf False is the basic index: occurrences don't count. lengths: doc_len of the postings.
+    tf False is the basic index: occurrences don't count. lengths: doc_len of the postings; it isn't read where the
+    postings have dl of their own and stats, one row (n, avgdl), is given.
     """
     spark = postings.sparkSession
     n_words = len({k for k, _, _ in terms})
     if not n_words:
         return lengths.select("path", F.lit(0.0).alias("score")).limit(0)
     wanted = F.broadcast(spark.createDataFrame(terms, "word int, term string, boost double"))  # the forms of one query
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    if stats is None:
+        stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hit = postings.where(F.col("term").isin(*sorted({t for _, t, _ in terms})))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(F.broadcast(df), "term").join(wanted, "term").join(lengths, "path").crossJoin(F.broadcast(stats))
+    rows = hit.join(F.broadcast(df), "term").join(wanted, "term").crossJoin(F.broadcast(stats))
+    rows = rows if "dl" in postings.columns else rows.join(lengths, "path")
     times = F.col("tf").cast("double") if tf else F.lit(1.0)
     each = F.col("boost") * bm25(times, F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))
     out = rows.groupBy("path").agg(F.countDistinct("word").alias("k"), F.sum(each).alias("score")).where(F.col("k") == n_words).select("path", "score")
