@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,29 +11,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove, scratch, shared_dir
+
 #: ASCII white space as the contracts have it: [\x20\x09-\x0D]
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session sets none, as in tests on one machine, a temporary folder is made once.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siftstone.shared", None)
-    if path is None:
-        path = tempfile.mkdtemp(prefix="siftstone-")
-        spark.conf.set("siftstone.shared", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends in replicated files."""
     path = scratch(df.sparkSession, name)
@@ -48,13 +29,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path, whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a table that stage() wrote and nothing reads any more."""
     files = df.inputFiles()
