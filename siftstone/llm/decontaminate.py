@@ -135,42 +135,117 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+class _Shard:
+    """The documents and posting lists of one shard, and what a plan's phrases find in them."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.blobs = dict(zip(table.column("term").to_pylist(), table.column("postings").to_pylist()))
+        self.docs = pa.ipc.open_stream(expand(self.blobs.pop(None))).read_all()
+        self.sizes = self.docs.column("n").to_numpy()
+        self.bases = np.r_[0, np.cumsum(self.sizes + GAP)[:-1]].astype(np.int64)
+        self.cache: dict[bytes, np.ndarray | None] = {}
+
+    def postings(self, term: bytes) -> np.ndarray | None:
+        if term not in self.cache:
+            data = self.blobs.get(term)
+            self.cache[term] = None if data is None else _decode(data)
+        return self.cache[term]
+
+    def hits(self, plan: list, by_rarest: dict[bytes, list[int]], rank: dict[bytes, int], slop: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number in the plan, rows, starts) of the phrases that occur: only those whose rarest term the shard holds are sought."""
+        for term in sorted(self.blobs.keys() & by_rarest.keys()):
+            for k in by_rarest[term]:
+                phrase = plan[k][0]
+                at = phrase_starts(self.postings, phrase, rank) if slop is None else proximity_starts(self.postings, phrase, slop, rank)
+                if len(at):
+                    row = np.searchsorted(self.bases, at, "right") - 1
+                    yield k, row, at - self.bases[row]
+
+
+def _rarest(plan: list, rank: dict[bytes, int]) -> dict[bytes, list[int]]:
+    """The phrases of a plan by their rarest term; one with a term that the corpus lacks occurs nowhere."""
+    out: dict[bytes, list[int]] = defaultdict(list)
+    for k, (phrase, _) in enumerate(plan):
+        if all(t in rank for t in phrase):
+            out[min(phrase, key=lambda t: rank[t])].append(k)
+    return dict(out)
+
+
+HITS = "shard string, row bigint, doc_id bigint, n_words bigint, start bigint, length bigint, item_ids array<bigint>"
+
+
 def _search(index: DataFrame, plan: list[tuple[tuple[bytes, ...], tuple]], rank: dict[bytes, int], slop: int | None) -> DataFrame:
-    """(doc_id, row, n_words, start, length, item_ids) for the hits of plan: phrases with what they belong to."""
+    """HITS of a plan: phrases with what they belong to; and for each document a row with start -1."""
+    by_rarest = _rarest(plan, rank)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        terms = table.column("term").to_pylist()
-        blobs = dict(zip(terms, table.column("postings").to_pylist()))
-        docs = pa.ipc.open_stream(expand(blobs.pop(None))).read_all()
-        sizes = docs.column("n").to_numpy()
-        bases = np.r_[0, np.cumsum(sizes + GAP)[:-1]].astype(np.int64)
-        cache: dict[bytes, np.ndarray] = {}
-
-        def postings(term):
-            if term not in cache:
-                data = blobs.get(term)
-                cache[term] = None if data is None else _decode(data)
-            return cache[term]
-
-        rows: list[tuple[int, int, int, int]] = [(i, -1, 0, -1) for i in range(len(sizes))]
-        for k, (phrase, _) in enumerate(plan):
-            starts = phrase_starts(postings, phrase, rank) if slop is None else proximity_starts(postings, phrase, slop, rank)
-            for d, s in zip((np.searchsorted(bases, starts, "right") - 1).tolist(), starts.tolist()):
-                rows.append((d, s - int(bases[d]), len(phrase) if slop is None else 1, k))
-        which = np.array([r[0] for r in rows], np.int64)
+        shard = _Shard(table)
+        n = len(shard.sizes)
+        rows, starts, lengths, items = [np.arange(n)], [np.full(n, -1)], [np.zeros(n, np.int64)], [[]] * n
+        for k, row, start in shard.hits(plan, by_rarest, rank, slop):
+            rows.append(row)
+            starts.append(start)
+            lengths.append(np.full(len(row), len(plan[k][0]) if slop is None else 1))
+            items += [list(plan[k][1])] * len(row)
+        which = np.concatenate(rows)
         return pa.table(
             {
-                "shard": pa.array([key[0].as_py()] * len(rows), pa.string()),
-                "row": pa.array(which),
-                "doc_id": docs.column("doc_id").combine_chunks().take(pa.array(which)),
-                "n_words": pa.array(sizes[which].astype(np.int64)),
-                "start": pa.array([r[1] for r in rows], pa.int64()),
-                "length": pa.array([r[2] for r in rows], pa.int64()),
-                "item_ids": pa.array([[] if r[3] < 0 else list(plan[r[3]][1]) for r in rows], pa.list_(pa.int64())),
+                "shard": pa.array([key[0].as_py()] * len(which), pa.string()),
+                "row": pa.array(which, pa.int64()),
+                "doc_id": shard.docs.column("doc_id").combine_chunks().take(pa.array(which)),
+                "n_words": pa.array(shard.sizes[which].astype(np.int64)),
+                "start": pa.array(np.concatenate(starts), pa.int64()),
+                "length": pa.array(np.concatenate(lengths), pa.int64()),
+                "item_ids": pa.array(items, pa.list_(pa.int64())),
             }
         )
 
-    return index.groupBy("shard").applyInArrow(run, "shard string, row bigint, doc_id bigint, n_words bigint, start bigint, length bigint, item_ids array<bigint>")
+    return index.groupBy("shard").applyInArrow(run, HITS)
+
+
+COVER = "shard string, row bigint, doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, item_ids array<bigint>"
+
+
+def _cover(index: DataFrame, plan: list[tuple[tuple[bytes, ...], tuple]], rank: dict[bytes, int]) -> DataFrame:
+    """COVER: a row for each document, with the merged spans of its hit words and the items that they belong to."""
+    by_rarest = _rarest(plan, rank)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        shard = _Shard(table)
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        items: dict[int, set[int]] = defaultdict(set)
+        for k, row, start in shard.hits(plan, by_rarest, rank, None):
+            width = len(plan[k][0])
+            for d, s in zip(row.tolist(), start.tolist()):
+                spans[d].append((s, s + width))
+            for d in np.unique(row).tolist():
+                items[d].update(plan[k][1])
+        n = len(shard.sizes)
+        merged = [_merged(spans[d]) if d in spans else [] for d in range(n)]
+        many = pa.list_(pa.int64())
+        return pa.table(
+            {
+                "shard": pa.array([key[0].as_py()] * n, pa.string()),
+                "row": pa.array(np.arange(n), pa.int64()),
+                "doc_id": shard.docs.column("doc_id").combine_chunks(),
+                "n_words": pa.array(shard.sizes.astype(np.int64)),
+                "starts": pa.array([[s for s, _ in x] for x in merged], many),
+                "ends": pa.array([[e for _, e in x] for x in merged], many),
+                "item_ids": pa.array([sorted(items.get(d, ())) for d in range(n)], many),
+            }
+        )
+
+    return index.groupBy("shard").applyInArrow(run, COVER)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def _plans(benchmark: DataFrame, width: int, block_words: int) -> Iterator[list[tuple[tuple[bytes, ...], tuple]]]:
@@ -189,6 +264,19 @@ def _plans(benchmark: DataFrame, width: int, block_words: int) -> Iterator[list[
         yield [(w, tuple(i for i in ids if i is not None)) for w, ids in sorted(held.items())]
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int, shard_bytes: int) -> Iterator[tuple[DataFrame, list, dict[bytes, int]]]:
+    """(index of the terms, plan, ranks of the terms) of each block of the benchmark; once without phrases if it has none."""
+    plans = _plans(benchmark, width, block_words)
+    ahead = list(itertools.islice(plans, 2))
+    if len(ahead) > 1:
+        # written down, so that the shards of all blocks are cut alike
+        docs = stage(docs.select("doc_id", "text"), "documents")
+    for plan in itertools.chain(ahead or [[]], plans):
+        index = stage(build_index(docs, {t for w, _ in plan for t in w}, shard_bytes), "postings")
+        counts = sorted(((r["n"], bytes(r["term"])) for r in frequencies(index).toLocalIterator())) if plan else []
+        yield index, plan, {t: i for i, (_, t) in enumerate(counts)}
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All occurrences of the benchmark's windows, and for each document one row with start -1.
 
@@ -196,21 +284,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     of exact phrases, places where all words of a window stand within slop words of its rarest one.
     """
     out = None
-    plans = _plans(benchmark, width, block_words)
-    ahead = list(itertools.islice(plans, 2))
-    if len(ahead) > 1:
-        # written down, so that the shards of all blocks are cut alike
-        docs = stage(docs.select("doc_id", "text"), "documents")
-    for plan in itertools.chain(ahead, plans):
-        terms = {t for w, _ in plan for t in w}
-        index = stage(build_index(docs, terms, shard_bytes), "postings")
-        counts = sorted(((r["n"], bytes(r["term"])) for r in frequencies(index).toLocalIterator()))
-        rank = {t: i for i, (_, t) in enumerate(counts)}
+    for index, plan, rank in _blocks(docs, benchmark, width, block_words, shard_bytes):
         found = _search(index, plan, rank, slop)
         out = found if out is None else out.unionByName(found.where("start >= 0"))
-    if out is None:
-        index = build_index(docs, set(), shard_bytes)
-        out = _search(index, [], {}, slop)
     return out
 
 
@@ -222,26 +298,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, pa
     isn't listed; repeated items are one. Repeated rows and null doc_ids are judged row by row. Empty tables give no
     rows, or no hits. Only doc_id, item_id and text are read.
     """
-    rows = matches(docs, benchmark, width, None, block_words, shard_bytes)
-
-    def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("row", "ascending"), ("start", "ascending")])
-        row, start, length = (order.column(c).to_numpy() for c in ("row", "start", "length"))
-        n_words = order.column("n_words").to_numpy()
-        doc, items = order.column("doc_id").to_pylist(), order.column("item_ids").to_pylist()
-        out = defaultdict(list)
-        begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for s, e in zip(begins.tolist(), [*begins[1:].tolist(), len(row)]):
-            hit, upto, ids = 0, 0, set()
-            for a, n, i in zip(start[s:e].tolist(), length[s:e].tolist(), items[s:e]):
-                if a >= 0:
-                    hit += max(0, a + n - max(upto, a))
-                    upto = max(upto, a + n)
-                    ids.update(i)
-            n = int(n_words[s])
-            for name, x in (("doc_id", doc[s]), ("n_words", n), ("n_hit", hit), ("n_items", len(ids)), ("item_ids", sorted(ids)), ("contaminated", hit > 0 and parts * hit >= n)):
-                out[name].append(x)
-        return pa.table(dict(out), schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("contaminated", pa.bool_())])
-    return rows.groupBy("shard").applyInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, item_ids array<bigint>, contaminated boolean")
+    covers = [_cover(*block) for block in _blocks(docs, benchmark, width, block_words, shard_bytes)]
+    if len(covers) == 1:
+        return _counted(covers[0], parts)
+    rows = covers[0]
+    for x in covers[1:]:
+        rows = rows.union(x.where(F.size("starts") > 0))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "item_ids")]
+    # a document has a row for each block that hits it
+    joined = rows.groupBy("shard", "row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists)
+    return _counted(joined.select("shard", "row", "doc_id", "n_words", "starts", "ends", "item_ids"), parts)
+
+
+def _counted(covers: DataFrame, parts: int) -> DataFrame:
+    spans = F.array_sort(F.arrays_zip("starts", "ends"))
+    start = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("upto"))
+
+    def step(acc, x):
+        new = F.greatest(F.lit(0).cast("bigint"), x["ends"] - F.greatest(acc["upto"], x["starts"]))
+        return F.struct((acc["hit"] + new).alias("hit"), F.greatest(acc["upto"], x["ends"]).alias("upto"))
+
+    out = covers.select("doc_id", "n_words", F.aggregate(spans, start, step)["hit"].alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
+    flag = (F.col("n_hit") > 0) & (parts * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), "item_ids", flag.alias("contaminated"))
