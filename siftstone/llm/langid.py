@@ -15,13 +15,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers that aren't digits, as superscripts and fractions, which \\w takes for parts of words
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: Characters that aren't letters, joined by a space before compressing
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
 #: Learned texts and dictionary bytes for each language, and bytes that one text may give
 TEXTS, DICT_BYTES, TEXT_BYTES = 400, 112 << 10, 2 << 10
 LEVEL = 9
-#: Parts of a language's rows that are ranked apart
-SHARES = 64
 #: A prediction is rejected when the best size isn't this share below the next
 MARGIN = 0.004
 #: Cleaned bytes that are compressed at once. What a dictionary saves is bounded by its size, so a longer text is cut
@@ -36,26 +36,30 @@ def cleaned(text: str) -> bytes:
 def learn(docs: DataFrame, usable: Column | None = None, texts: int = TEXTS, dict_bytes: int = DICT_BYTES, max_langs: int = 300) -> dict[str, bytes]:
     """A dictionary for each non-null lang of docs (doc_id, text, lang), from the rows that usable allows.
 
-    The sample is bounded, and the same at every size of the table: of each language the texts rows with the smallest
-    hash of doc_id, of each text its first TEXT_BYTES cleaned bytes and more in turn until dict_bytes are filled. Only
-    identifiers are ranked, and ranks over the bound are cut off before the shuffle.
+    The sample is bounded, whatever the table holds: of each language about texts rows, those with the smallest
+    hash of doc_id, of each text its first TEXT_BYTES cleaned bytes and more in turn until dict_bytes are filled. Rows
+    are counted first, so that hardly more than the sample is ranked. Of over max_langs languages the most frequent are
+    learned, of those as frequent the first by name. Rows without a doc_id or text aren't learned from; of rows that
+    repeat a doc_id and language the text that sorts first is.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    # ranked among a share of a language's rows first, so that no task ranks more than SHARES times texts of one
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for by in (["lang", F.pmod("h", F.lit(SHARES))], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("rank") <= texts).drop("rank")
-    ids = ids.drop("h")
-    chosen = ids.distinct().collect()
-    langs = {r["lang"] for r in chosen}
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages; the sample's bound holds for {max_langs}")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not counts:
+        return {}
+    # the share of a language's rows that holds texts of them, with room for chance
+    room = texts + 8 * int(texts**0.5) + 8
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], float(min(1.0, room / r["count"]) * (1 << 32))) for r in counts], "lang string, cut double")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    ids = rows.select("doc_id", "lang", h.alias("h")).join(F.broadcast(cuts), "lang").where(F.col("h") < F.col("cut")).select("doc_id", "lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts).select("doc_id", "lang").collect()
     bound = docs.sparkSession.createDataFrame(chosen or [], "doc_id bigint, lang string")
     got = rows.select("doc_id", "lang", F.substring("text", 1, dict_bytes).alias("text")).join(F.broadcast(bound), ["doc_id", "lang"], "left_semi")
+    got = got.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[bytes]] = {}
-    for r in got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+    for r in got.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         by_lang.setdefault(r["lang"], []).append(cleaned(r["text"]))
     return {lang: _dictionary(parts, dict_bytes) for lang, parts in sorted(by_lang.items())}
 
