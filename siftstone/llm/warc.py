@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
 An archive is a Parquet table of rows (archive, record_no, record_id, chunk_no, last, data, payload_sha1): the data of a record's
-rows, in order, is its gzip member, and the members of an archive in order are a .warc.gz file. A record is
-compressed and hashed piece by piece, and a row leaves as soon as its chunk is full; each row carries the digest of the
-payload so far, so that a reader can stop at the first damaged chunk. Neither side joins a record's chunks together.
+rows, in order, is its gzip member, and the members of an archive in order are a .warc.gz file. A record is compressed
+and hashed piece by piece, and a row leaves for each piece: compression is flushed there, so that the rows up to one
+decode to exactly the payload whose digest that row carries. A reader checks every row as it comes and stops at the
+first that is damaged. Neither side joins a record's chunks together.
 
 The table goes through Spark's writer, so the archives lie wherever the shared folder lies. Rows of a record are
 written one after the other, but a reader may split a file anywhere: reading deals records anew and sorts the chunks.
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import remove, scratch, stage
 
-#: Bytes of a chunk row, and of a payload that are compressed at once
+#: Bytes of the payload that a chunk row holds
 CHUNK_BYTES = 64 << 10
 #: Payloads of fewer bytes are stored again for every record
 REVISIT_FROM = 1000
@@ -62,23 +63,19 @@ def header(page_id: int | None, url: str | None, kind: str, refers_to: int | Non
 
 
 def chunks(head: bytes, payload: bytes | memoryview, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[bytes, bool, str]]:
-    """(data, last, digest so far) for one record: its gzip member in rows of about chunk_bytes."""
+    """(data, last, digest so far) for one record: its gzip member in rows of chunk_bytes of payload."""
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     digest = hashlib.sha1()
     held = packer.compress(head)
     view = memoryview(payload)
-    for k in range(0, len(view), chunk_bytes):
+    for k in range(0, max(len(view), 1), chunk_bytes):
         part = view[k : k + chunk_bytes]
         digest.update(part)
         held += packer.compress(part)
-        while len(held) >= chunk_bytes:
-            yield held[:chunk_bytes], False, digest.hexdigest()
-            held = held[chunk_bytes:]
-    held += packer.compress(b"\r\n\r\n") + packer.flush()
-    while len(held) > chunk_bytes:
-        yield held[:chunk_bytes], False, digest.hexdigest()
-        held = held[chunk_bytes:]
-    yield held, True, digest.hexdigest()
+        last = k + chunk_bytes >= len(view)
+        held += packer.compress(b"\r\n\r\n") + packer.flush() if last else packer.flush(zlib.Z_SYNC_FLUSH)
+        yield held, last, digest.hexdigest()
+        held = b""
 
 
 def plan(pages: DataFrame) -> DataFrame:
@@ -150,16 +147,18 @@ class Reader:
             raise ValueError(f"chunk {number} follows chunk {self.next - 1}")
         self.next += 1
         pending = data
-        while pending:
+        while True:
             out = self.inflate.decompress(pending, CHUNK_BYTES)
             pending = self.inflate.unconsumed_tail
             self._take(out)
+            if not pending and len(out) < CHUNK_BYTES:
+                break
+        if self.digest.hexdigest() != sofar:
+            raise ValueError(f"the payload up to chunk {number} differs from its digest")
         if last:
             self._take(self.inflate.flush())
             if self.head is None or self.left or self.buffer != b"\r\n\r\n" or not self.inflate.eof:
                 raise ValueError("the record is cut short")
-            if self.digest.hexdigest() != sofar:
-                raise ValueError("the payload differs from its digest")
             return self._record()
         return None
 
@@ -228,9 +227,23 @@ _READ_SCHEMA = pa.schema(
 )
 
 
+def dangling(records: DataFrame) -> DataFrame:
+    """(payload_digest) of revisits that no response read from the archives bears out: its page, its length, its digest.
+
+    What a revisit says of its payload is only in its header. Digests are grouped, combined before the shuffle.
+    """
+    revisit = F.col("record_type") == "revisit"
+    said = F.struct("refers_to", "payload_bytes")
+    read_ = F.when(~revisit, F.struct(F.col("page_id").alias("refers_to"), "payload_bytes"))
+    seen = records.groupBy("payload_digest").agg(F.min(F.when(revisit, said)).alias("low"), F.max(F.when(revisit, said)).alias("high"), F.max(read_).alias("response"))
+    return seen.where("low is not null and (response is null or low <> high or low <> response)").select("payload_digest")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive pages (page_id, url, html) in the shared folder and read the records back.
 
+    ValueError if a record is damaged or a revisit refers to no response of its digest and length.
+
     A null html is an empty payload, a null url or page_id has no header line. Rows that repeat a page_id are records of
     their own with one record id; with the largest page_id of a payload, they are all responses. A null page_id never
     becomes a response while others have the payload. An empty table gives no rows; other columns are not read.
@@ -238,4 +251,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(plan(pages), path)
-    return read(spark, path)
+    records = stage(read(spark, path), "warc-records")
+    remove(spark, path)
+    lost = dangling(records).limit(3).collect()
+    if lost:
+        raise ValueError(f"revisits without their response: {', '.join(r['payload_digest'] for r in lost)}")
+    return records
