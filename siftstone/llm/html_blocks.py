@@ -26,8 +26,10 @@ from .html_pages import generated_page
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-#: Elements whose content is no text of the page
-RAW = frozenset("script style noscript template svg math iframe object select textarea title canvas audio video".split())
+#: Elements whose content a browser doesn't show as text of the page
+RAW = frozenset("script style noscript template iframe select textarea title canvas audio video".split())
+#: Innermost names and words of a path that are read; the depth is read beside them
+PATH_WORDS = 64
 #: Elements that stand within a line of text
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,25 +52,30 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     out: list[tuple[str, tuple[str, ...], float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = [0]
+    linked, anchors = [0], [0]
+    #: names and words of the open elements that aren't inline, and how many each of the stack's brought
+    names: list[str] = []
     at = 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            path = tuple(w for name, words in stack if name not in INLINE for w in (name, *words))
-            out.append((text, path, min(1.0, linked[0] / len(text))))
+            out.append((text, tuple(names[-PATH_WORDS:]), min(1.0, linked[0] / len(text))))
         parts.clear()
         linked[0] = 0
 
     def pop(k: int) -> None:
         if any(n not in INLINE for n, _ in stack[k:]):
             flush()
+        brought = sum(1 + len(words) for n, words in stack[k:] if n not in INLINE)
+        if brought:
+            del names[-brought:]
+        anchors[0] -= sum(n == "a" for n, _ in stack[k:])
         del stack[k:]
 
     def say(s: str) -> None:
         parts.append(s)
-        if any(n == "a" for n, _ in stack):
+        if anchors[0]:
             linked[0] += len(s.strip())
 
     while at < len(page):
@@ -112,9 +119,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if "=" in attrs:
             words = tuple(w for a in _ATTR.finditer(attrs) for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())[:8])
         stack.append((name, words))
-    stack_left = stack
+        anchors[0] += name == "a"
+        if name not in INLINE:
+            names += (name, *words)
     flush()
-    del stack_left[:]
     return out
 
 
@@ -127,9 +135,10 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v / max(1.0, float(np.sqrt(len(path))))
 
 
-def features(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
-    """(blocks, PATH + WORD + EXTRA): hashed path, hashed words, counts."""
+def features(page: list[tuple[str, tuple[str, ...], float]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, PATH + WORD + EXTRA): hashed path, hashed words, counts; of total blocks those from first on."""
     x = np.zeros((len(page), PATH + WORD + EXTRA), np.float32)
+    total = len(page) if total is None else total
     crc = zlib.crc32
     for k, (text, path, links) in enumerate(page):
         x[k, :PATH] = _path_vector(path)
@@ -139,7 +148,7 @@ def features(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
         x[k, PATH : PATH + WORD] = v / max(1.0, float(np.sqrt(v @ v)))
         n = len(words)
         x[k, PATH + WORD :] = (
-            np.log1p(n) / 4, links, min(n, 8) / 8, text[-1] in ".!?", k / len(page), sum(map(text.count, ",.;")) / (n + 1), any(c in text for c in "©|»"), len(path) / 8,
+            np.log1p(n) / 4, links, min(n, 8) / 8, text[-1] in ".!?", (first + k) / total, sum(map(text.count, ",.;")) / (n + 1), text[0].isupper(), min(len(path), 24) / 8,
         )
     return x
 
@@ -161,11 +170,13 @@ class BiLSTM:
         self.p["V"] = r.normal(0, 0.2, 2 * hidden).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """x (time, batch, inputs) -> states (time, batch, hidden), from the end if d is b. Padding holds the state."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """x (time, batch, inputs) -> states (time, batch, hidden), from the end if d is b. Padding holds the state.
+
+        state: (h, c) to start from. What is returned beside the states: for step() what it needs, else the last (h, c).
+        """
         t, n, m = x.shape
-        h = np.zeros((n, self.hidden), np.float32)
-        c = np.zeros_like(h)
+        h, c = state or (np.zeros((n, self.hidden), np.float32), np.zeros((n, self.hidden), np.float32))
         w, u = self.p[f"W{d}"][:m], self.p[f"W{d}"][m:]
         pre = x.reshape(-1, m) @ w + self.p[f"b{d}"]
         pre = pre.reshape(t, n, -1)
@@ -185,13 +196,24 @@ class BiLSTM:
                 cache.append((s, h, c, i, f, o, q, tc, on))
             h, c = np.where(on, h2, h), np.where(on, c2, c)
             states[s] = h
-        return states, cache
+        return states, cache if keep else (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         f, _ = self._run(x, mask, "f", False)
         b, _ = self._run(x, mask, "b", False)
         return f @ self.p["V"][: self.hidden] + b @ self.p["V"][self.hidden :] + self.p["c"]
 
+    def long_logits(self, page: list[tuple[str, tuple[str, ...], float]], piece: int) -> np.ndarray:
+        """logits() of one page, some blocks at a time: a state is carried over, so memory doesn't grow with the page."""
+        out = np.zeros(len(page), np.float32)
+        cuts = [(k, min(k + piece, len(page))) for k in range(0, len(page), piece)]
+        for d, v, order in (("f", self.p["V"][: self.hidden], cuts), ("b", self.p["V"][self.hidden :], cuts[::-1])):
+            state = None
+            for s, e in order:
+                states, state = self._run(features(page[s:e], s, len(page))[:, None, :], np.ones((e - s, 1), bool), d, False, state)
+                out[s:e] += states[:, 0, :] @ v
+        return out + self.p["c"]
+
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over the blocks and its gradients, through time."""
         k = self.hidden
@@ -229,7 +251,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: int = 700, epochs: int = 6, batch: int = 28, rate: float = 0.01, seed: int = 5) -> BiLSTM:
+def train(pages: int = 2000, epochs: int = 8, batch: int = 28, rate: float = 0.01, seed: int = 5) -> BiLSTM:
     """A labeller from generated pages, by Adam with clipped gradients. The same seed gives the same weights."""
     r = random.Random(seed)
     data = []
@@ -264,11 +286,15 @@ def train(pages: int = 700, epochs: int = 6, batch: int = 28, rate: float = 0.01
 
 
 def label(pages: list[list[tuple[str, tuple[str, ...], float]]], net: BiLSTM, cells: int = 1 << 15) -> list[np.ndarray]:
-    """For each page which blocks are main text. Pages of like length are read together, cells bounds a batch."""
+    """For each page which blocks are main text. Pages of like length are read together, cells bounds what is read at once."""
     out = [np.zeros(len(p), bool) for p in pages]
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     k = 0
     while k < len(order):
+        if len(pages[order[k]]) > cells // 4:
+            out[order[k]] = net.long_logits(pages[order[k]], cells // 4) > 0
+            k += 1
+            continue
         n = 1
         while k + n < len(order) and (n + 1) * len(pages[order[k + n]]) <= cells and n < 256:
             n += 1
@@ -285,7 +311,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """(page_id, url, text, n_chars): the main blocks of each whole page in order, joined by one space.
 
     A null or empty html has an empty text; so has a page without a main block. n_chars counts code points. Repeated
-    rows are judged alike. Other columns are not read; an empty table gives no rows.
+    rows are judged alike. What stands in a canvas, audio, video or iframe element for browsers that cannot show it is no text. Other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]):

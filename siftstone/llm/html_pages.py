@@ -19,7 +19,7 @@ SHARE = "share social sharing buttons toolbar follow".split()
 
 
 def _syllables(r: random.Random) -> list[str]:
-    return ["".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiouyéäöñ") + r.choice(["", "n", "r", "s", "t"]) for _ in range(r.randrange(1, 2))) for _ in range(40)]
+    return ["".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiouyéäöñ") + r.choice(["", "n", "r", "s", "t"]) for _ in range(r.randrange(1, 3))) for _ in range(40)]
 
 
 class _Page:
@@ -28,6 +28,19 @@ class _Page:
         self.syllables = _syllables(r)
         self.style = r.choice(["semantic", "classes", "ids", "bare", "both", "both", "semantic"])
         self.entities = r.random() < 0.4
+        # signs that one would expect in menus and footers stand in some pages' articles, in some between all words
+        self.sign = r.choice("||||»»©·–•/")
+        self.signs = r.choice([0, 0, 0, 0, 0, 0, 0.02, 0.1, 0.3, 1])
+
+    def said(self, low: int, high: int, stop: bool = True) -> str:
+        """Words of an article."""
+        text = self.words(low, high, stop)
+        if self.signs:
+            ws = text.split(" ")
+            text = " ".join(w + (f" {self.sign}" if self.r.random() < self.signs else "") for w in ws)
+            if self.r.random() < 0.2:
+                text += f" {self.sign}"
+        return text
 
     def words(self, low: int, high: int, stop: bool = True) -> str:
         r = self.r
@@ -138,41 +151,41 @@ class _Page:
         outer = self.open(["main", "div", "section"], WRAP + MAIN) if r.random() < 0.4 else None
         tag = self.open(["article", "article", "main", "section", "div"], MAIN)
         if r.random() < 0.85:
-            self.block(r.choice(["h1", "h1", "h2"]), self.words(2, 14, False), True)
-        for k in range(int(1 * 28 ** r.random())):
+            self.block(r.choice(["h1", "h1", "h2"]), self.said(2, 14, False), True)
+        for k in range(int(r.choice([28] * 14 + [200]) ** r.random())):
             x = r.random()
             if x < 0.72:
-                text = self.words(1, 160)
+                text = self.said(1, 160)
                 if r.random() < 0.15:
                     text = f"<{r.choice(['b', 'i', 'em', 'strong', 'span'])}>" + text
                 elif r.random() < 0.15:
-                    text += f' <a href="/r">{self.words(1, 4, False)}</a> ' + self.words(1, 20)
+                    text += f' <a href="/r">{self.said(1, 4, False)}</a> ' + self.said(1, 20)
                 self.block("p", text, True, r.random() < 0.9)
                 if r.random() < 0.1:
-                    self.out.append("<br>" + self.words(1, 30))
+                    self.out.append("<br>" + self.said(1, 30))
                     self.labels.append(1)
             elif x < 0.80:
-                self.block(r.choice(["h2", "h3"]), self.words(1, 8, False), True)
+                self.block(r.choice(["h2", "h3"]), self.said(1, 8, False), True)
             elif x < 0.86:
                 kind = r.choice(["ul", "ol"])
                 self.out.append(f"<{kind}>")
                 for _ in range(r.randrange(2, 6)):
-                    self.block("li", self.words(1, 30), True, r.random() < 0.8)
+                    self.block("li", self.said(1, 30), True, r.random() < 0.8)
                 self.out.append(f"</{kind}>")
             elif x < 0.89:
                 self.out.append("<blockquote>")
-                self.block("p", self.words(4, 60), True)
+                self.block("p", self.said(4, 60), True)
                 self.out.append("</blockquote>")
             elif x < 0.91:
                 self.out.append("<table>")
                 for _ in range(r.randrange(1, 4)):
                     self.out.append("<tr>")
                     for _ in range(r.randrange(1, 4)):
-                        self.block("td", self.words(1, 5, False), True)
+                        self.block("td", self.said(1, 5, False), True)
                     self.out.append("</tr>")
                 self.out.append("</table>")
             elif x < 0.93:
-                self.block("pre", self.words(3, 40), True)
+                self.block("pre", self.said(3, 40), True)
             else:
                 r.choice([self.ad, self.ad, self.share, self.notice, self.form, self.side])()
         if r.random() < 0.15:
