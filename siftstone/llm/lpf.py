@@ -6,28 +6,46 @@ import numpy as np
 
 
 def suffix_ranks(text: np.ndarray, limit: int) -> np.ndarray:
-    """Ranks of the suffixes by their first limit bytes; equal where those are equal. Shorter suffixes equal none.
+    """Ranks of the suffixes by their first limit bytes; equal where those are equal. Past the end stand zeros.
 
     text: uint8. Ranks start from words of eight bytes where limit allows, and double the length that they tell apart.
     """
     n = len(text)
     if limit >= 8:
-        padded = np.r_[text, np.zeros(8, np.uint8)]
-        words = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64)
-        rank, step = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+        rank, step = np.unique(words(text).byteswap(), return_inverse=True)[1].astype(np.int64), 8
     else:
-        rank, step = text.astype(np.int64), 1
+        rank, step = text.astype(np.int64) + 1, 1
     while step < limit:
         take = min(step, limit - step)
         low = np.zeros(n, np.int64)
         low[: max(0, n - take)] = rank[take:]
         rank = np.unique(rank * (int(low.max()) + 1) + low, return_inverse=True)[1].astype(np.int64)
         step += take
-    short = np.arange(max(0, n - limit + 1), n)
-    rank[short] = n + short
     return rank
 
 
+def words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, the first one lowest."""
+    padded = np.r_[text, np.zeros(8, np.uint8)]
+    return np.ndarray((len(text),), "<u8", padded.data, strides=(1,)).astype(np.uint64)
+
+
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Bytes that the suffixes from a and from b have in common, up to limit, by comparing them eight at a time."""
+    w, n = words(text), len(text)
+    out = np.zeros(len(a), np.int64)
+    most = np.minimum(limit, n - np.maximum(a, b))
+    active = np.arange(len(a))
+    while len(active):
+        k = out[active]
+        x = w[a[active] + k] ^ w[b[active] + k]
+        # the bits below the lowest that differs
+        equal = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
+        out[active] = np.minimum(k + equal, most[active])
+        active = active[(equal == 8) & (out[active] < most[active])]
+    return out
+
+
 def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place in suffix order the previous place with a smaller owner, and the common prefix with it.
 
@@ -55,24 +73,32 @@ def nearest_smaller(owner: np.ndarray, common: np.ndarray, least: int) -> tuple[
     return at, np.where(at < 0, 0, share)
 
 
-def longest_previous_factor(text: np.ndarray, owner: np.ndarray, limit: int) -> np.ndarray:
-    """For each position the longest match, up to limit, that starts at a position of a smaller owner.
+def longest_previous_factor(text: np.ndarray, owner: np.ndarray, limit: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the length of the longest match, up to limit, from a position of a smaller owner, and that one.
 
-    Matches shorter than limit count as 0. owner: a number for each position; text that no match may enter should
-    belong to no other place, as a separator that is never repeated.
+    Matches of fewer than least bytes count as none: length 0, position -1. owner: a number for each position. In
+    suffix order the longest match is with the nearest smaller owner before or after; what two suffixes have in common
+    is the least that any neighbours between them have.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
-    rank = suffix_ranks(text, limit)
-    order = np.argsort(rank, kind="stable")
-    # common prefixes of neighbours, of which only those of limit bytes are told apart from none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # of suffixes that the zeros past the end make equal, the shorter stand first, between none that go on
+    key = suffix_ranks(text, limit) * (limit + 1) + limit
+    short = np.arange(max(0, n - limit), n)
+    key[short] += n - short - limit
+    order = np.argsort(key, kind="stable")
     common = np.zeros(n, np.int64)
-    common[1:] = limit * (rank[order[1:]] == rank[order[:-1]])
+    common[1:] = common_prefixes(text, order[:-1], order[1:], limit)
     who = owner[order]
-    _, before = nearest_smaller(who, common, limit)
-    back = np.r_[0, common[1:][::-1]] if n > 1 else np.zeros(n, np.int64)
-    _, after = nearest_smaller(who[::-1], back, limit)
-    out = np.empty(n, np.int64)
-    out[order] = np.maximum(before, after[::-1])
-    return out
+    at, before = nearest_smaller(who, common, least)
+    back = np.r_[0, common[1:][::-1]]
+    after_at, after = nearest_smaller(who[::-1], back, least)
+    after_at, after = n - 1 - after_at[::-1], after[::-1]
+    later = after > before
+    length, source = np.empty(n, np.int64), np.full(n, -1)
+    length[order] = np.where(later, after, before)
+    place = np.where(later, after_at, at)
+    found = length[order] > 0
+    source[order[found]] = order[place[found]]
+    return length, source

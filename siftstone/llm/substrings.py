@@ -9,12 +9,16 @@ have the same anchor at the same place. So documents are first compared by ancho
    bytes are asked for.
 3. Documents, packed and compressed by bucket, answer with contexts, dealt by anchor again. Each task joins its
    contexts to one text, and the longest-previous-factor array of that text, by previous and next smaller documents in
-   suffix order, tells which strings an earlier document has. Contexts of an anchor with more than HOT of them are
-   dealt as single strings instead, which can be split at will and are settled as in 1 and 2.
+   suffix order, tells how long a match with an earlier document each place begins.
 4. Spans meet their documents once, by bucket.
 
-No task ever holds a group of unbounded size; texts are shuffled compressed. Anchors and contexts are compared by
-64 bits each; contexts that meet in step 3 by their bytes.
+An anchor with many contexts is hot: its contexts are dealt as single strings instead, which can be split at will and
+are settled as in 1 and 2. A task that finds an anchor's contexts in more than its share of HOT documents doesn't deal
+them by the anchor at all, but says so to the anchor's task, which treats what others dealt to it alike. So an anchor
+brings no more than HOT contexts, or one for each task of step 1, together.
+
+Texts are shuffled compressed. Anchors and contexts are compared by 64 bits each, rows are known by doc_id and 64 bits
+of their text; contexts that meet in step 3 are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -152,8 +156,8 @@ def _unpack(blobs: Iterable[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.empty(0, kind) for p, kind in zip(parts, kinds)]
 
 
-ENTRY = ["<u8", "<u8", "<i8", "<u2", "<u4"]  # anchor, context, doc, variant, position
-SPAN = ["<i8", "<u2", "<i4", "<i4"]  # doc, variant, start, end
+ENTRY = ["<u8", "<u8", "<i8", "<i8", "<u4"]  # anchor, context, doc, variant, position
+SPAN = ["<i8", "<i8", "<i4", "<i4"]  # doc, variant, start, end
 OUT = "kind string, part int, blob binary"
 
 
@@ -170,7 +174,7 @@ def _spans(doc, variant, start, end, n_buckets: int) -> Iterator[tuple[str, int,
     """Spans merged where they touch, dealt to their documents' buckets."""
     if len(doc):
         doc, variant, start, end = merged(doc, variant, np.maximum(start, 0), end)
-        yield from _deal("span", bucket_of(doc, n_buckets), [doc.astype("<i8"), variant.astype("<u2"), start.astype("<i4"), end.astype("<i4")])
+        yield from _deal("span", bucket_of(variant, n_buckets), [doc.astype("<i8"), variant.astype("<i8"), start.astype("<i4"), end.astype("<i4")])
 
 
 def merged(doc, variant, start, end):
@@ -192,22 +196,35 @@ def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(docs, variants, texts) in the order of docs. A variant tells rows apart that share a doc_id."""
-    table = table.sort_by("doc")
+    table = table.sort_by([("doc", "ascending"), ("variant", "ascending")])
     texts = [(t or "").encode() for t in table.column("text").to_pylist()]
-    variants = np.fromiter((int.from_bytes(hashlib.blake2b(t, digest_size=2).digest(), "little") for t in texts), np.uint16, len(texts))
-    return table.column("doc").to_numpy().astype(np.int64), variants, texts
+    return table.column("doc").to_numpy().astype(np.int64), table.column("variant").to_numpy().astype(np.int64), texts
 
 
-def _entries(h, ctx, doc, variant, pos, before: int, size: int, parts: int, n_buckets: int) -> Iterator[tuple[str, int, bytes]]:
-    """What a task deals of its own entries: spans of those that an earlier document here covers, and the others."""
-    order, _, _, covered = settle(h, ctx, doc)
-    hit, rest = order[covered], np.sort(order[~covered])
-    yield from _spans(doc[hit], variant[hit], pos[hit] - before, pos[hit] + size, n_buckets)
-    part = (h[rest] * _A >> np.uint64(33)) % np.uint64(parts)
-    yield from _deal("entry", part.astype(np.int64), [h[rest], ctx[rest], doc[rest].astype("<i8"), variant[rest].astype("<u2"), pos[rest].astype("<u4")])
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h * _A >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
 
+def _entries(h, ctx, doc, variant, pos, before: int, size: int, parts: int, n_buckets: int, share: int | None = None) -> Iterator[tuple[str, int, bytes]]:
+    """What a task deals of its own entries: spans of those that an earlier document here covers, and the others.
 
-def _find(docs: DataFrame, parts: int, n_buckets: int, chunk: int) -> DataFrame:
+    share: anchors with more contexts than that are dealt as hot, to their documents, and flagged to their parts.
+    """
+    order, new, _, covered = settle(h, ctx, doc)
+    hit, rest = order[covered], np.sort(order[~covered])
+    yield from _spans(doc[hit], variant[hit], pos[hit] - before, pos[hit] + size, n_buckets)
+    if share is not None and len(order):
+        anchor, contexts = np.unique(h[order[new]], return_counts=True)
+        hot = anchor[contexts > share]
+        if len(hot):
+            yield from _deal("flag", _part_of(hot, parts), [hot])
+            on = np.isin(h[rest], hot)
+            x, rest = rest[on], rest[~on]
+            yield from _deal("hot", bucket_of(variant[x], n_buckets), [h[x], ctx[x], doc[x].astype("<i8"), variant[x].astype("<i8"), pos[x].astype("<u4")])
+    yield from _deal("entry", _part_of(h[rest], parts), [h[rest], ctx[rest], doc[rest].astype("<i8"), variant[rest].astype("<i8"), pos[rest].astype("<u4")])
+
+
+def _find(docs: DataFrame, parts: int, n_buckets: int, chunk: int, share: int) -> DataFrame:
     def run(batches):
         for table in chunked(batches, "text", chunk):
             doc, variant, texts = _rows(table)
@@ -221,7 +238,7 @@ def _find(docs: DataFrame, parts: int, n_buckets: int, chunk: int) -> DataFrame:
                     found.append(_anchored(doc[s:e], variant[s:e], texts[s:e]))
             if found:
                 h, ctx, d, v, pos = (np.concatenate(x) for x in zip(*found))
-                yield _batch(list(_entries(h, ctx, d, v, pos, REACH, LENGTH, parts, n_buckets)))
+                yield _batch(list(_entries(h, ctx, d, v, pos, REACH, LENGTH, parts, n_buckets, share)))
 
     return docs.mapInArrow(run, OUT)
 
@@ -235,16 +252,16 @@ def _anchored(doc: np.ndarray, variant: np.ndarray, texts: list[bytes]) -> tuple
     return h, context_hashes(buf, at, pos, lengths[which] - pos), doc[which], variant[which], pos
 
 
-def _kinds(table: pa.Table) -> tuple[dict[str, list[bytes]], list[tuple[str, int, bytes]]]:
-    """The blobs of a group by kind, and its spans, which only pass through."""
+def _kinds(table: pa.Table, through: tuple[str, ...]) -> tuple[dict[str, list[bytes]], list[tuple[str, int, bytes]]]:
+    """The blobs of a group by kind, and the rows of those kinds that only pass through."""
     blobs: dict[str, list[bytes]] = {}
-    spans = []
+    passed = []
     for row in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "blob"))):
-        if row[0] == "span":
-            spans.append(row)
+        if row[0] in through:
+            passed.append(row)
         else:
             blobs.setdefault(row[0], []).append(row[2])
-    return blobs, spans
+    return blobs, passed
 
 
 def _covered(blobs: list[bytes], before: int, size: int, n_buckets: int):
@@ -257,10 +274,11 @@ def _covered(blobs: list[bytes], before: int, size: int, n_buckets: int):
 
 
 def _resolve(found: DataFrame, parts: int, n_buckets: int, hot: int) -> DataFrame:
-    """By anchor: spans of covered entries, and requests for the contexts of anchors that have several."""
+    """By anchor: spans of covered entries, and requests for the contexts of anchors that have several or are flagged."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs, rows = _kinds(table)
+        blobs, rows = _kinds(table, ("span", "hot"))
+        flagged = _unpack(blobs.get("flag", []), ["<u8"])[0]
         more, (h, ctx, doc, variant, pos, order, new, group, covered) = _covered(blobs.get("entry", []), REACH, LENGTH, n_buckets)
         rows += more
         if len(order):
@@ -271,13 +289,15 @@ def _resolve(found: DataFrame, parts: int, n_buckets: int, hot: int) -> DataFram
             contexts = np.add.reduceat(new.astype(np.int64), begins)
             firsts = ds[new][group]
             differ = np.minimum.reduceat(firsts, begins) != np.maximum.reduceat(firsts, begins)
-            asked = ((contexts > 1) & differ)[number] & ~covered
+            # what a flagged anchor's contexts have to be compared with isn't here
+            elsewhere = np.isin(hs[begins], flagged)
+            asked = ((contexts > 1) & differ | elsewhere)[number] & ~covered
             at = order[asked]
             kept = np.add.reduceat((~covered).astype(np.int64), begins)
-            flag = (kept > hot)[number][asked]
+            flag = ((kept > hot) | elsewhere)[number][asked]
             for kind, on in (("ask", ~flag), ("hot", flag)):
                 x = at[on]
-                rows += list(_deal(kind, bucket_of(doc[x], n_buckets), [h[x], ctx[x], doc[x], variant[x], pos[x].astype("<u4")]))
+                rows += list(_deal(kind, bucket_of(variant[x], n_buckets), [h[x], ctx[x], doc[x], variant[x], pos[x].astype("<u4")]))
         return pa.Table.from_batches([_batch(rows)])
 
     return _by_part(found, parts).applyInArrow(run, OUT)
@@ -308,7 +328,7 @@ def _answer(docs: DataFrame, asks: DataFrame, parts: int, n_buckets: int) -> Dat
                 high = np.minimum(pos + LENGTH, lengths[which])
                 if kind == "ask":
                     view = np.lib.stride_tricks.sliding_window_view(buf, REACH + LENGTH)
-                    part = (h * _A >> np.uint64(33)) % np.uint64(parts)
+                    part = _part_of(h, parts)
                     order = np.argsort(part, kind="stable")
                     cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
                     for s, e in zip(cuts, [*cuts[1:], len(order)]):
@@ -332,23 +352,26 @@ def _answer(docs: DataFrame, asks: DataFrame, parts: int, n_buckets: int) -> Dat
 
 
 def _compare(answered: DataFrame, parts: int, n_buckets: int) -> DataFrame:
-    """Spans of strings that an earlier document has: of contexts by longest-previous-factor arrays, of single strings by hash."""
+    """Spans that an earlier document has: of contexts by longest-previous-factor arrays, of single strings by hash."""
     width = REACH + LENGTH
 
     def shared(doc, size, body):
-        """(context, place) of each string of the contexts that a smaller doc's context has."""
+        """(context, place, length) of the matches of LENGTH bytes or more with contexts of smaller docs."""
         text = body.reshape(-1, width)
         owner = np.unique(doc, return_inverse=True)[1].astype(np.int64)
         # a string counts, on either side, where it lies within its context
-        fits = np.arange(width)[None, :] + LENGTH <= size[:, None]
-        of = np.where(fits, owner[:, None], len(owner))
-        factor = longest_previous_factor(text.reshape(-1), of.reshape(-1), LENGTH).reshape(-1, width)
-        return np.nonzero((factor >= LENGTH) & fits)
+        room = size[:, None].astype(np.int64) - np.arange(width)[None, :]
+        of = np.where(room >= LENGTH, owner[:, None], len(owner)).reshape(-1)
+        factor, source = longest_previous_factor(text.reshape(-1), of, width, LENGTH)
+        room = room.reshape(-1)
+        at = np.flatnonzero((factor >= LENGTH) & (room >= LENGTH))
+        # and so far as it does
+        return at // width, at % width, np.minimum(factor[at], np.minimum(room[at], room[source[at]]))
 
     def run(table: pa.Table) -> pa.Table:
-        blobs, rows = _kinds(table)
+        blobs, rows = _kinds(table, ("span",))
         rows += _covered(blobs.get("entry", []), 0, LENGTH, n_buckets)[0]
-        h, doc, variant, low, size, body = _unpack(blobs.get("context", []), ["<u8", "<i8", "<u2", "<u4", "<u2", f"V{width}"])
+        h, doc, variant, low, size, body = _unpack(blobs.get("context", []), ["<u8", "<i8", "<i8", "<u4", "<u2", f"V{width}"])
         order = np.argsort(h, kind="stable")
         body = body.view(np.uint8).reshape(-1, width) if len(body) else np.empty((0, width), np.uint8)
         start = 0
@@ -361,9 +384,9 @@ def _compare(answered: DataFrame, parts: int, n_buckets: int) -> DataFrame:
                     cut -= 1
                 end = cut if cut > start else int(np.searchsorted(h[order], h[order[start]], "right"))
             at = order[start:end]
-            row, place = shared(doc[at], size[at], body[at])
+            row, place, length = shared(doc[at], size[at], body[at])
             begin = low[at][row].astype(np.int64) + place
-            rows += list(_spans(doc[at][row], variant[at][row], begin, begin + LENGTH, n_buckets))
+            rows += list(_spans(doc[at][row], variant[at][row], begin, begin + length, n_buckets))
             start = end
         return pa.Table.from_batches([_batch(rows)])
 
@@ -403,16 +426,18 @@ def dedup(docs: DataFrame, keep_text: bool = False, chunk: int = CHUNK, hot: int
 
     Removed is each byte covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id,
     judged on the whole input. A null text is empty. A null doc_id is later than all others, and such rows are one
-    document. Rows that share a doc_id never remove from each other. Kept bytes may end within a character. An empty
+    document, spread over tasks like others. Rows that share a doc_id never remove from each other. Kept bytes may end within a character. An empty
     table gives no rows; only doc_id and text are read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"))
+    rows = rows.withColumn("variant", F.xxhash64("text", "doc"))
     total = text_bytes(docs)
     n_buckets, parts = bucket_count(spark, total, 8 << 20), bucket_count(spark, total, 24 << 20)
-    packed = packed_buckets(rows, "doc", ["text", "doc"], n_buckets, chunk)
+    packed = packed_buckets(rows, "variant", ["text", "doc", "variant"], n_buckets, chunk)
 
-    first = stage(_resolve(_find(rows, parts, n_buckets, chunk), parts, n_buckets, hot), "resolved")
+    share = max(1, hot // (total // chunk + 1))
+    first = stage(_resolve(_find(rows, parts, n_buckets, chunk, share), parts, n_buckets, hot), "resolved")
     answered = _answer(packed, first.where("kind in ('ask', 'hot')"), parts, n_buckets)
     spans = first.where("kind = 'span'").union(_compare(answered, parts, n_buckets))
     return _apply(packed, spans, keep_text)

@@ -46,15 +46,18 @@ def texts(seed, n):
 
 def test_factor_matches_slow():
     r = np.random.default_rng(1)
-    for limit in (1, 3, 5, 8):
+    for limit in (1, 3, 8, 20, 80):
         for _ in range(20):
             n = int(r.integers(0, 70))
             t, owner = r.integers(0, 2, n).astype(np.uint8), np.sort(r.integers(0, 5, n))
             r.shuffle(owner)
-            got = lpf.longest_previous_factor(t, owner, limit)
+            least = int(r.integers(1, limit + 1))
+            got, source = lpf.longest_previous_factor(t, owner, limit, least)
+            match = lambda i, j: next((k for k in range(limit) if i + k >= n or j + k >= n or t[i + k] != t[j + k]), limit)
             for i in range(n):
-                best = max((next((k for k in range(limit) if i + k >= n or j + k >= n or t[i + k] != t[j + k]), limit) for j in range(n) if owner[j] < owner[i]), default=0)
-                assert got[i] == (limit if best >= limit else 0)
+                best = max((match(i, j) for j in range(n) if owner[j] < owner[i]), default=0)
+                assert got[i] == (best if best >= least else 0)
+                assert source[i] == -1 if not got[i] else owner[source[i]] < owner[i] and match(i, source[i]) >= got[i]
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("part", T.StringType())])
@@ -75,6 +78,24 @@ def test_dedup_matches_slow(spark):
     check(spark, rows, chunk=3000, hot=2)
 
 
+def test_many_rows_without_an_identifier(spark):
+    """They are one document each of whose texts is known apart; a string that all share goes if an earlier one has it."""
+    r = random.Random(4)
+    say = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared = say(120)
+    check(spark, [(None, say(r.randrange(40)) + (shared if k % 2 else "") + say(60)) for k in range(2500)] + [(1, say(30) + shared)])
+
+
+def test_an_anchor_with_many_contexts(spark):
+    """A short string with other surroundings in every document, which some of them share."""
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    short, around = "0123456789" * 3, [(say(40), say(40)) for _ in range(8)]
+    rows = [(k, say(30) + a + short + b + say(30)) for k in range(150) for a, b in [r.choice(around) if r.random() < 0.3 else (say(40), say(40))]]
+    check(spark, rows)
+    check(spark, rows, chunk=3000, hot=20)
+
+
 def test_dedup_empty(spark):
     assert substrings.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
     check(spark, [(1, ""), (2, None), (3, "short")])
