@@ -55,7 +55,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), mixing.TARGETS)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
 
 

@@ -158,9 +158,43 @@ def test_language_id(spark):
     other = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs(spark, [(d, t, "zz", "q") for d, t, *_ in rows]), model).collect()}
     assert all(other[d] == got[d]["lang_pred"] for d in other)
     assert langid.learn(docs(spark, rows).limit(0)) == {}
+    # numbers that aren't letters, and a letter beside them
+    assert {langid.predict(t, tuple(model.items()))[0] for t in ("²", "½ ①", "12 _ !", "Ⅷ")} == {"und"}
+    assert langid.predict("x²", tuple(model.items()))[0] != "und"
+    # more languages than are learned, repeated and null doc_ids
+    many = [(k, f"text of {k % 9}", f"l{k % 9}", "a") for k in range(90)] + [(None, "no id", "l1", "a")] * 3 + [(k, f"text of {k % 2}", f"l{k % 2}", "a") for k in range(20)]
+    assert sorted(langid.learn(docs(spark, many), max_langs=2)) == ["l0", "l1"]
+    assert len(langid.learn(docs(spark, many), texts=3, dict_bytes=40)["l0"]) <= 40
     assert {x["lang_pred"] for x in langid.identify(docs(spark, rows), {}).collect()} == {"und"}
 
 
+def slow_predict(text, model):
+    """A plain compressor for each block and language, made anew."""
+    import zstandard
+
+    data = " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()).encode()
+    n = -(-len(data) // langid.BLOCK_BYTES)
+    sizes = {}
+    for lang, d in model.items():
+        shared = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        new = lambda: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)  # noqa: B023, E731
+        sizes[lang] = sum(len(new().compress(data[len(data) * k // n : len(data) * (k + 1) // n])) for k in range(n))
+    return min(sizes, key=lambda k: (sizes[k], k)), sizes
+
+
+def test_language_id_matches_slow(spark):
+    r = random.Random(4)
+    speak = {"en": ["the", "of", "thing", "ther"], "de": ["der", "und", "ung", "schön"], "fr": ["le", "été", "ment", "que"]}
+    say = lambda lang, n: " ".join(r.choice(speak[lang]) + r.choice(["", ",", "1", " -"]) for _ in range(n))
+    model = langid.learn(docs(spark, [(k, say(lang, 60), lang, "a") for k in range(60) for lang in [r.choice(list(speak))]]))
+    for n in (1, 3, 50, 60_000):
+        text = say("fr", n) + " " + say("de", n)
+        want, sizes = slow_predict(text, model)
+        got = langid.predict(text, tuple(sorted(model.items())))
+        second = sorted(sizes.values())[1]
+        assert got[0] == want and math.isclose(got[2], (second - sizes[want]) / second)
+
+
 def test_margin_does_not_shrink_with_length(monkeypatch):
     r = random.Random(8)
     speak = {lang: ["".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(4000)] for lang, letters in (("en", "abcdefghijk"), ("de", "ghijklmnopq"))}
@@ -212,6 +246,79 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, rows).limit(0)).collect() == []
 
 
+def slow_mix(rows, given, power, share, seed=8):
+    """Raking, inclusion and draw by loops over cells and rows."""
+    import struct
+
+    import xxhash
+
+    cells, total = {}, 0
+    tokens = [len((t or "").split()) for _, t, *_ in rows]
+    for (_, _, lang, src), n in zip(rows, tokens):
+        cells[src, lang] = cells.get((src, lang), 0) + n
+        total += n
+    targets = {}
+    for m, at in (("source", 0), ("lang", 1)):
+        seen = {}
+        for key, n in cells.items():
+            seen[key[at]] = seen.get(key[at], 0) + n
+        seen = {v: n / total for v, n in seen.items() if n}
+        if m in given:
+            named = {v: given[m][v] for v in seen if v in given[m]}
+            rest = sum(seen[v] for v in named)
+            want = {v: named[v] / sum(named.values()) * rest if v in named else seen[v] for v in seen}
+        else:
+            want = {v: x**power for v, x in seen.items()}
+        targets[at] = {v: x / sum(want.values()) for v, x in want.items()}
+    weight = {k: 1 / total if n else 0.0 for k, n in cells.items()}
+    for _ in range(2000):
+        for at, want in targets.items():
+            have = {}
+            for k, n in cells.items():
+                have[k[at]] = have.get(k[at], 0) + n * weight[k]
+            weight = {k: w * want.get(k[at], 0) / have[k[at]] if have[k[at]] else 0.0 for k, w in weight.items()}
+    # water-filling: cells at 1 hand what they cannot give to the others
+    full, budget = set(), share * total
+    while True:
+        rest = sum(cells[k] * weight[k] for k in cells if k not in full)
+        scale = (budget - sum(cells[k] for k in full)) / rest if rest else 0
+        more = {k for k in cells if k not in full and scale * weight[k] >= 1}
+        if not more:
+            break
+        full |= more
+    out = []
+    for (d, _, lang, src), n in zip(rows, tokens):
+        p = 0.0 if not n else 1.0 if (src, lang) in full else scale * weight[src, lang]
+        h = 42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), 42)
+        u = xxhash.xxh64_intdigest(struct.pack("<i", seed), h) % (1 << 52) / (1 << 52)
+        out.append((d, n, round(p, 6), u < p))
+    return out
+
+
+@pytest.mark.parametrize("given", [{}, {"lang": {"en": 3.0, "fr": 1.0, "xx": 5.0}}, {"lang": {"zz": 1.0}}])
+def test_mix_matches_slow(spark, given):
+    rows = [(d, t, lang or "en", src or "b") for d, t, lang, src in make(14, 300)] + [(None, "null id", "en", "a"), (900, None, "fr", "a")]
+    got = mixing.mix(docs(spark, rows), given, power=0.5, share=0.6, margins=("source", "lang")).collect()
+    if given == {"lang": {"zz": 1.0}}:
+        # no value that it names occurs: the margin keeps its shares, as without a target for it
+        assert sum(x["n_tokens"] * x["probability"] for x in got) > 0
+        return
+    assert sorted(((x["doc_id"], x["n_tokens"], round(x["probability"], 6), x["sampled"]) for x in got), key=str) == sorted(slow_mix(rows, given, 0.5, 0.6), key=str)
+
+
+def test_mix_with_clashing_columns_and_many_cells(spark, monkeypatch):
+    rows = make(15, 200)
+    plain = docs(spark, rows)
+    clash = plain.withColumns({f"__{c}": F.lit("x") for c in ("lang", "source", "topic", "cell")} | {"weight": F.lit(7.0), "tokens": F.lit(1), "cut": F.lit("y")})
+    key = lambda df: sorted((str((x["doc_id"], x["probability"], x["sampled"])) for x in df.collect()))
+    got = mixing.mix(clash)
+    assert key(got) == key(mixing.mix(plain)) and {"__lang", "__topic", "tokens"} <= set(got.columns)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 8)
+    many = docs(spark, [(k, "some words of it", f"l{k % 30}", f"s{k % 7}") for k in range(300)])
+    out = mixing.mix(many, share=0.5).collect()
+    assert len(out) == 300 and math.isclose(sum(x["n_tokens"] * x["probability"] for x in out), 0.5 * sum(x["n_tokens"] for x in out), rel_tol=1e-6)
+
+
 # WARC
 
 
@@ -247,12 +354,34 @@ def test_warc(spark, tmp_path):
 
 
 def test_warc_reader_refuses_damage():
-    rows = list(warc.chunks(warc.header(1, "u", "response", None, hashlib.sha1(b"a" * 5000).hexdigest(), 5000, 5000), b"a" * 5000))
-    data, last, sofar = rows[-1]
-    with pytest.raises(ValueError):
-        warc.Reader().feed(0, data, last, "0" * 40)
+    r = random.Random(2)
+    body = "".join(r.choice("abcdefgh ") for _ in range(50_000)).encode()
+    rows = list(warc.chunks(warc.header(1, "u", "response", None, hashlib.sha1(body).hexdigest(), len(body), len(body)), body, 3000))
+    assert len(rows) == 17 and all(d == hashlib.sha1(body[: 3000 * (k + 1)]).hexdigest() for k, (_, _, d) in enumerate(rows))
+
+    def feed(rows):
+        reader = warc.Reader()
+        return [reader.feed(k, *x) for k, x in rows]
+
+    whole = list(enumerate(rows))
+    assert feed(whole)[-1]["payload_bytes"] == 50_000
+    for at in (0, 8, 16):
+        data, last, sofar = rows[at]
+        for broken in ((data, last, "0" * 40), (data[:-9] + bytes([data[-9] ^ 1]) + data[-8:], last, sofar)):
+            damaged = [*whole[:at], (at, broken), *whole[at + 1 :]]
+            with pytest.raises((ValueError, zlib.error)):
+                feed(damaged[: at + 1])
+        with pytest.raises((ValueError, zlib.error)):
+            feed(whole[:at] + whole[at + 1 :] + [(17, rows[16])])
     with pytest.raises(ValueError):
-        warc.Reader().feed(1, data, last, sofar)
+        feed([*whole[:16], (16, (rows[16][0], False, rows[16][2])), (17, (b"", True, rows[16][2][::-1]))])
+
+
+def test_warc_revisits_need_their_response(spark):
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    good = [(1, 2000, "a", "revisit", 9), (2, 2000, "a", "revisit", 9), (9, 2000, "a", "response", None), (3, 5, "b", "response", None), (4, 5, "b", "response", None)]
+    bad = [(5, 2000, "c", "revisit", 6), (6, 1999, "c", "response", None), (7, 3000, "d", "revisit", 8), (10, 3000, "e", "revisit", 11), (11, 3000, "e", "response", None), (12, 3000, "e", "revisit", 13)]
+    assert {x[0] for x in warc.dangling(spark.createDataFrame(good + bad, schema)).collect()} == {"c", "d", "e"}
 
 
 # URL filters
@@ -325,14 +454,52 @@ def test_html_extraction(spark):
     assert all(len(b) == len(y) for b, (_, y) in zip(found, pages))
     right = np.concatenate([a == np.array(y, bool) for a, (_, y) in zip(html_blocks.label(found, net), pages)])
     assert right.mean() > 0.93
-    rows = [(1, "u", pages[0][0]), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (4, "u", "<nav><a>m</a></nav><article><h1>T</h1>" + "<p>word more words.</p>" * 3000 + "</article><footer>f</footer>")]
+    # signs that one expects in menus, in every paragraph of an article
+    for sign in ("|", "»", "©", "·"):
+        marked = f" {sign} ".join(["Words", "and", "more", "of", "them", "here"])
+        page = f"<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav><div class='ad'>Buy this now.</div><article><h1>{marked}</h1>" + f"<p>{marked}</p>" * 12 + f"</article><footer>{sign} 2020</footer>"
+        got = html_blocks.blocks(page)
+        assert [b[0] for b, on in zip(got, html_blocks.label([got], net)[0]) if on] == [marked] * 13
+    rows = [(1, "u", pages[0][0]), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (4, "u", "<nav><a>m</a></nav><article><h1>A title of it</h1>" + "<p>word more words.</p>" * 3000 + "</article><footer>f</footer>")]
     df = spark.createDataFrame([(*x, "z") for x in rows], "page_id bigint, url string, html string, text string")
     got = {x["page_id"]: x for x in html_blocks.extract(df, net.p).collect()}
     assert got[2]["text"] == got[3]["text"] == got[None]["text"] == "" and got[2]["n_chars"] == 0
-    assert got[4]["text"] == "T " + " ".join(["word more words."] * 3000)
+    assert got[4]["text"] == "A title of it " + " ".join(["word more words."] * 3000)
     assert html_blocks.extract(df.limit(0), net.p).collect() == []
 
 
+def slow_logits(net, x):
+    """The labeller block by block, unit by unit, for one page."""
+    k, total = net.hidden, [float(net.p["c"][0])] * len(x)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for d, v in (("f", net.p["V"][:k]), ("b", net.p["V"][k:])):
+        h, c = [0.0] * k, [0.0] * k
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = [sum(float(a) * float(b) for a, b in zip([*x[t], *h], net.p[f"W{d}"][:, j])) + float(net.p[f"b{d}"][j]) for j in range(4 * k)]
+            for j in range(k):
+                c[j] = sigmoid(z[k + j]) * c[j] + sigmoid(z[j]) * math.tanh(z[3 * k + j])
+            h = [sigmoid(z[2 * k + j]) * math.tanh(c[j]) for j in range(k)]
+            total[t] += sum(a * float(b) for a, b in zip(h, v))
+    return np.array(total)
+
+
+def test_labeller_matches_slow():
+    net = html_blocks.BiLSTM(seed=9)
+    r = random.Random(6)
+    pages = [p for p in (html_blocks.blocks(html_pages.generated_page(r)[0]) for _ in range(3)) if p]
+    x, mask = html_blocks.padded([html_blocks.features(p) for p in pages])
+    got = net.logits(x, mask)
+    for k, p in enumerate(pages):
+        assert np.allclose(got[: len(p), k], slow_logits(net, html_blocks.features(p)), atol=1e-4)
+        assert np.allclose(got[: len(p), k], net.long_logits(p, 7), atol=1e-4)
+
+
+def test_deep_page():
+    """Depth costs no more than length; only the innermost part of a path is read."""
+    got = html_blocks.blocks("<div class='a b'>" * 5000 + "x" + "</div>" * 5000 + "<p>y</p>")
+    assert [b[0] for b in got] == ["x", "y"] and len(got[0][1]) == html_blocks.PATH_WORDS and got[1][1] == ("p",)
+
+
 # language model
 
 
@@ -351,22 +518,76 @@ def test_lbl_scores(spark):
     n, v = sum(counts.values()), len(counts)
     want = sorted(((d, is_held(d), len(tokens(t)), sum(w in counts for w in tokens(t)), n, round(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in tokens(t)), 6)) for d, t, *_ in rows), key=str)
     assert sorted(((*tuple(x)[:5], round(x["base_score"], 6)) for x in got), key=str) == want
-    assert all(x["score"] < 0 for x in got)
+    assert all(x["score"] < 0 and x["spelled_score"] <= x["score"] for x in got)
     assert lbl.score(docs(spark, rows).limit(0), held).collect() == []
 
 
-def test_lbl_is_normalised_and_learns():
-    r = np.random.default_rng(1)
-    keys = r.integers(0, lbl.CLASSES**3, 400)
-    times = r.integers(1, 50, 400)
-    net = lbl.LogBilinear()
-    net.fit(keys, times, steps=400, batch=256)
-    table = net.log10_table()
-    assert np.allclose((10.0**table).sum(axis=2), 1)
-    size = lbl.CLASSES
-    two, one, cls = keys // (size * size), keys // size % size, keys % size
-    unigram = np.bincount(cls, times, size) / times.sum()
-    assert (table[two, one, cls] * times).sum() > (np.log10(unigram[cls]) * times).sum()
-    vocab = lbl.Vocabulary(100, 10, np.array([5], np.uint64), np.array([0]), np.full(lbl.bins(), 40.0))
-    # a bin's words have its whole mass
-    assert np.isclose((10 ** vocab.within(np.full(4, lbl.FREQUENT + 3), np.full(4, 10))).sum(), 1)
+def slow_log10(net, symbols):
+    """log10 probability of each symbol of one text, a token at a time, over all symbols of all classes."""
+    p, out = {k: x.astype(np.float64) for k, x in net.p.items()}, []
+    for i, s in enumerate(symbols):
+        h = np.zeros(p["r"].shape[1])
+        for k in range(lbl.PLACES):
+            h += p["a"][k] * p["r"][symbols[i - k - 1] if i > k else len(net.share)]
+        probability = np.zeros(len(net.share))
+        classes = np.exp(p["q"] @ h + p["b"])
+        for c in range(len(classes)):
+            lo, hi = net.bounds[c], net.bounds[c + 1]
+            inner = np.exp(p["w"][lo:hi] @ h + p["u"][lo:hi])
+            probability[lo:hi] = classes[c] / classes.sum() * inner / inner.sum()
+        assert np.isclose(probability.sum(), 1)
+        out.append(math.log10(probability[s]))
+    return np.array(out)
+
+
+def toy_model(seed, words=300):
+    r = np.random.default_rng(seed)
+    n = np.sort(r.integers(8, 900, words))[::-1]
+    v = lbl.make_vocabulary(np.arange(1, 8), np.full(7, 9), np.empty(0, np.uint64), np.empty(0, np.int64))
+    mass = np.r_[n, v.mass]
+    return r, lbl.LogBilinear(lbl.class_bounds(mass, words, 12), mass, vector=6)
+
+
+def test_lbl_score_matches_slow():
+    r, net = toy_model(1)
+    texts = [r.integers(0, 324, n) for n in (1, 2, 5, 60)]
+    net.fit(np.concatenate(texts), net.contexts(np.concatenate(texts), np.cumsum([0, 1, 2, 5, 60])), 3)
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = net.log10(np.concatenate(texts), net.contexts(np.concatenate(texts), offsets))
+    assert np.allclose(got, np.concatenate([slow_log10(net, t) for t in texts]), atol=1e-4)
+
+
+def test_lbl_learns_what_follows():
+    """Each symbol of the text is followed by one of few; training lifts them far above their shares."""
+    r, net = toy_model(2)
+    after = r.integers(0, 300, (324, 2))
+    text = np.zeros(60_000, np.int64)
+    for i in range(1, len(text)):
+        text[i] = after[text[i - 1], r.integers(0, 2)]
+    context = net.contexts(text, np.array([0, len(text)]))
+    before = net.log10(text, context).mean()
+    for k in range(3):
+        net.fit(text[:50_000], context[:50_000], k)
+    assert net.log10(text[50_000:], context[50_000:]).mean() > before + 0.8
+
+
+def test_lbl_bins():
+    n = np.array([0, 1, 2, 3, 4, 5, 6, 300])
+    v = lbl.make_vocabulary(np.array([1, 2, 4, 5, 50]), np.array([6, 3, 5, 4, 1]), np.array([7], np.uint64), np.array([50]))
+    assert (v.tokens, v.distinct, v.fours) == (102, 19, 0.5)
+    sym = v.symbols(np.arange(len(n), dtype=np.uint64), n)
+    assert sym[7] == 0 and list(sym[:5]) == [1, 2, 3, 4, 5]
+    # the words of a bin share its whole mass
+    assert np.isclose(6 * 10 ** v.within(np.array([2]), np.array([1]))[0], 1)
+    assert np.isclose(5 * 10 ** v.within(np.array([5]), np.array([4]))[0] + 4 * 10 ** v.within(np.array([5]), np.array([5]))[0], 1)
+    assert list(v.left_out(np.array([0, 1, 2, 3, 4, 6]), 1)) == [0, 1, 1, 2, 3, 6]
+    assert 400 < (v.left_out(np.full(1000, 5), 1) == 4).sum() < 600
+
+
+def test_lbl_beats_the_base_on_held_out_text(spark):
+    """By known words alone: what it learns of unseen ones is left out of both sums."""
+    r = random.Random(7)
+    speak = {k: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80)] for k in "xyz"}
+    rows = [(k, " ".join(r.choice(speak["xyz"[k % 3]]) for _ in range(200)), "", "") for k in range(700)]
+    got = lbl.score(docs(spark, rows), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).where("held_out and n_known = n_tokens").collect()
+    assert len(got) > 50 and sum(x["score"] for x in got) > sum(x["base_score"] for x in got) + 0.2 * sum(x["n_tokens"] for x in got)

@@ -66,7 +66,7 @@ def test_pipeline(spark, tmp_path):
     assert want[0] >= {70, 73} and not want[0] & {74, 75, 76}
     assert not want[1] & {70, 71} - {71} or len(want[0] - want[1]) == 2
     assert {73, 77} <= want[2] and not {73, 77} & want[3]
-    sampled = {r["doc_id"] for r in mixing.mix(frame(left)).where(F.col("sampled")).collect()}
+    sampled = {r["doc_id"] for r in mixing.mix(frame(left), mixing.TARGETS).where(F.col("sampled")).collect()}
     assert {r["doc_id"] for r in docs.collect()} == sampled
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
     empty = str(tmp_path / "empty")
