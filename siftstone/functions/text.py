@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,13 +75,41 @@ def name_grams(text: Column) -> Column:
     return F.array_distinct(F.concat(two, three, F.regexp_extract_all(text, F.lit(f"[{UNSPACED}]"), F.lit(0))))
 
 
+def compose(text: Column) -> Column:
+    """NFKC, which Spark lacks: a Pandas UDF that is handed only the texts with characters that it may change.
+
+    That is what fold() has no table for: jamo, marks of kana, half- and full-width forms, letter-like signs.
+    """
+    some = F.when(text.rlike(COMPOSED), text)
+    return F.coalesce(F.pandas_udf(_normalised, "string")(some), text)
+
+
+def _normalised(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+COMPOSED = r"[\u1100-\u11FF\u2000-\u206F\u2070-\u218F\u2460-\u24FF\u3099\u309A\u3130-\u318F\u3200-\u33FF\uA960-\uA97F\uD7B0-\uD7FF\uF900-\uFAFF\uFB00-\uFEFF\uFF00-\uFFEF]"
+
+
 def terms(text: Column, index: bool = True) -> Column:
     """Folded terms of a body. Unspaced runs give bigrams; in the index each of their characters too.
 
-    Terms of 40 bytes and more are left out; an Arabic article goes if three letters remain.
+    Terms of 40 bytes and more are left out; an Arabic article goes if three letters remain. Only texts that have such
+    scripts are looked at term by term.
     """
-    folded = fold(text)
-    pieces = F.regexp_extract_all(folded, F.lit(f"[{UNSPACED}]+|[\\p{{L}}\\p{{N}}&&[^{UNSPACED}]]+"), F.lit(0))
+    # the folded text is bound to a variable, as it is read more than once
+    return F.transform(F.array(fold(text)), lambda folded: F.when(folded.rlike(rf"[{UNSPACED}\u0600-\u06FF]"), _script_terms(folded, index)).otherwise(_short(F.regexp_extract_all(folded, F.lit(WORD), F.lit(0)))))[0]
+
+
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+
+
+def _short(words: Column) -> Column:
+    return F.filter(words, lambda t: F.octet_length(t) < 40)
+
+
+def _script_terms(folded: Column, index: bool) -> Column:
+    pieces = F.regexp_extract_all(folded, F.lit(f"[{UNSPACED}]+|[\\p{{L}}\\p{{N}}&&[^{UNSPACED}]][\\p{{L}}\\p{{N}}\\p{{M}}&&[^{UNSPACED}]]*"), F.lit(0))
 
     def cut(w: Column) -> Column:
         n = F.char_length(w)
@@ -89,7 +118,7 @@ def terms(text: Column, index: bool = True) -> Column:
         both = F.concat(grams, drop_empty(F.coalesce(singles, F.array().cast("array<string>")))) if index else grams
         return F.when(w.rlike(f"^[{UNSPACED}]"), both).otherwise(F.array(F.regexp_replace(w, f"^({'|'.join(ARTICLES)})(?=.{{3,}})", "")))
 
-    return F.filter(F.flatten(F.transform(pieces, cut)), lambda t: F.octet_length(t) < 40)
+    return _short(F.flatten(F.transform(pieces, cut)))
 
 
 def spaced_terms(text: Column) -> Column:
@@ -119,17 +148,30 @@ def word_count(text: Column) -> Column:
 
 
 # fixed values: the references that are decoded by name
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 
 
 def decode_entities(text: Column) -> Column:
-    """amp, lt, gt, quot, apos, nbsp and decimal references below 128; others stay. &amp; is decoded last, once."""
-    out = text
-    for name, c in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(c))
-    for code in (34, 39, 38):
-        out = F.replace(out, F.lit(f"&#{code};"), F.lit(chr(code) if code != 38 else "&amp;"))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """amp, lt, gt, quot, apos, nbsp, decimal and hexadecimal references; others stay. Each is decoded once.
+
+    A text is cut where references stand and put together from what lies between them and what they mean.
+    """
+    reference = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|amp|lt|gt|quot|apos|nbsp);"
+    between = F.split(text, reference)
+    named = F.create_map(*[F.lit(x) for k, v in ENTITIES.items() for x in (k, v)])
+
+    def meant(name: Column) -> Column:
+        digits = F.substring(name, 2, 9)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).cast("bigint")
+        high, low = F.floor((code - 0x10000) / 1024) + 0xD800, F.pmod(code - 0x10000, F.lit(1024)) + 0xDC00
+        # two bytes of UTF-16 for each unit
+        units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.hex(high.cast("bigint")), F.hex(low.cast("bigint"))))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(name.startswith("#"), F.when(valid, F.decode(F.unhex(units), "UTF-16BE")).otherwise(F.concat(F.lit("&"), name, F.lit(";")))).otherwise(F.element_at(named, name))
+
+    signs = F.transform(F.regexp_extract_all(text, F.lit(reference), F.lit(1)), meant)
+    joined = F.concat(F.array_join(F.flatten(F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(between) - 1).alias("a"), signs.alias("b")), lambda x: F.array(x["a"], x["b"]))), ""), F.element_at(between, -1))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 #: Tags that end a line of text
@@ -182,8 +224,8 @@ def truncate_bytes(text: Column, limit: int) -> Column:
 
 
 # fixed values: function words that tell English from Iberian text
-ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "was", "by", "this", "are", "from")
-IBERIAN = ("de", "la", "el", "que", "en", "los", "del", "las", "por", "con", "una", "para", "do", "da", "em", "um", "os", "as", "no", "na")
+ENGLISH = ("the", "and", "of", "to", "is", "for", "that", "with", "this", "by", "be", "are")
+IBERIAN = ("de", "que", "em", "en", "el", "do", "da", "os", "los", "las", "para", "con", "com", "um", "una")
 
 
 def stopword_language(text: Column) -> Column:

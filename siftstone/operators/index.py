@@ -12,37 +12,50 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..sources import shared
 from . import search
 
-TABLES = ("grams", "postings", "lengths", "vocab", "stats")
+TABLES = ("grams", "postings", "lengths", "vocab", "stats", "files")
 
 
 @dataclass(frozen=True)
 class Index:
-    """grams(gram, path, dl), postings(term, path, tf, dl), lengths(path, dl), vocab(term, df), stats(kind, n, avgdl)."""
+    """grams(gram, path, dl), postings(term, path, tf, dl), lengths(path, dl), vocab(term, df), stats(kind, n, avgdl), files.
+
+    files: a row for each path, without its text.
+    """
 
     grams: DataFrame
     postings: DataFrame
     lengths: DataFrame
     vocab: DataFrame
     stats: DataFrame
+    files: DataFrame
+
+    def stats_of(self, kind: str) -> DataFrame:
+        """(n, avgdl) of the names or the contents."""
+        return self.stats.where(F.col("kind") == kind).select("n", "avgdl")
 
 
 def _write(df: DataFrame, path: str, key: str) -> None:
-    df.repartitionByRange(F.col(key)).sortWithinPartitions(key, "path").write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+    order = [key] if key == "path" else [key, "path"]
+    df.repartitionByRange(F.col(key)).sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(path)
 
 
 def build(files: DataFrame, path: str, spaced: bool = False) -> Index:
-    """Write the index of files(path, name, text) to path, from nothing; an index that is there already is kept.
+    """Write the index of files(path, name, stem, text, ...) to path, from nothing; one that is there already is kept.
 
-    spaced: no text of a script without spaces is to be expected.
+    Names and texts are composed (NFKC) on the way. spaced: no text that this changes, and none of a script without
+    spaces, is to be expected. Of rows with one path the postings are one document's; files should hold each path once.
     """
     spark = files.sparkSession
     if not shared.exists(spark, path):
         half = f"{path}.{shared.scratch(spark, 'build').rsplit('-', 1)[1]}"
-        _write(search.name_grams(files), f"{half}/grams", "gram")
-        terms = search.postings(files.select("path", "text"), spaced)
+        composed = files if spaced else files.withColumns({c: text.compose(F.col(c)) for c in ("name", "stem", "text")})
+        _write(composed.drop("text"), f"{half}/files", "path")
+        _write(search.name_grams(spark.read.parquet(f"{half}/files")), f"{half}/grams", "gram")
+        terms = search.postings(composed.select("path", "text"), spaced)
         # the terms of the corpus are extracted and shuffled once; all other tables come from what was written
         terms.write.option("compression", "zstd").parquet(f"{half}/terms")
         terms = spark.read.parquet(f"{half}/terms")
@@ -82,6 +95,8 @@ def upsert(index: Index, files: DataFrame, gone: DataFrame, path: str, spaced: b
     changed = files.select("path").union(gone.select("path")).distinct()
     keep = lambda df: df.join(changed, "path", "left_anti")
     half = f"{path}.{shared.scratch(spark, 'build').rsplit('-', 1)[1]}"
+    files = files if spaced else files.withColumns({c: text.compose(F.col(c)) for c in ("name", "stem", "text")})
+    _write(keep(index.files).unionByName(files.drop("text")), f"{half}/files", "path")
     _write(keep(index.grams).unionByName(search.name_grams(files)), f"{half}/grams", "gram")
     terms = search.postings(files.select("path", "text"), spaced)
     new = terms.join(search.doc_len(terms), "path").select("term", "path", "tf", "dl")

@@ -28,7 +28,7 @@ def name_grams(files: DataFrame) -> DataFrame:
     return files.select("path", grams.alias("grams")).select(F.explode("grams").alias("gram"), "path", F.size("grams").alias("dl"))
 
 
-def postings(content: DataFrame, spaced: bool = True) -> DataFrame:
+def postings(content: DataFrame, spaced: bool = False) -> DataFrame:
     """(term, path, tf) of content(path, text). spaced: no text of a script without spaces is to be expected."""
     terms = text.spaced_terms(F.col("text")) if spaced else text.terms(F.col("text"))
     return content.select("path", F.explode(terms).alias("term")).groupBy("term", "path").agg(F.count(F.lit(1)).alias("tf"))
@@ -86,6 +86,11 @@ def query_words(spark, q: str) -> list[str]:
     return spark.range(1).select(text.name_words(F.lit(q[:256])).alias("w")).first()["w"]
 
 
+def content_words(spark, q: str) -> list[str]:
+    """Terms of a query as a body's: bigrams of unspaced scripts, no Arabic articles."""
+    return list(dict.fromkeys(spark.range(1).select(text.terms(F.lit(q[:256]), index=False).alias("w")).first()["w"]))
+
+
 def quality(words: tuple[str, ...]) -> Column:
     """Sum over query words of 3 for a word of the name, 2 for the start of one, 1 for a part of the name; null if one isn't met.
 
@@ -223,16 +228,21 @@ def search_content(postings: DataFrame, lengths: DataFrame, terms: list[tuple[in
 # both
 
 
-def search_both(names: DataFrame, content: DataFrame, limit: int = 50) -> DataFrame:
-    """One row for each path of names(path, whole, quality, score) and content(path, score), in bands.
-
-    Both before name before body; within a band by name match, name score, body score, path. Scores are never mixed.
-    """
+def merged(names: DataFrame, content: DataFrame) -> DataFrame:
+    """One row for each path of names(path, whole, quality, score) and content(path, score): match, both scores, match_kind, tier."""
     n = names.select("path", F.struct("whole", "quality").alias("match"), F.col("score").alias("name_score"))
     c = content.select("path", F.col("score").alias("body_score"))
     out = n.join(c, "path", "full_outer")
     named, said = F.col("name_score").isNotNull(), F.col("body_score").isNotNull()
-    out = out.withColumns({"match_kind": F.when(named & said, "both").when(named, "name").otherwise("body"), "score": F.coalesce("name_score", "body_score"), "tier": F.when(named & said, 0).when(named, 1).otherwise(2)})
+    return out.withColumns({"match_kind": F.when(named & said, "both").when(named, "name").otherwise("body"), "score": F.coalesce("name_score", "body_score"), "tier": F.when(named & said, 0).when(named, 1).otherwise(2)})
+
+
+def search_both(names: DataFrame, content: DataFrame, limit: int = 50) -> DataFrame:
+    """merged() in bands.
+
+    Both before name before body; within a band by name match, name score, body score, path. Scores are never mixed.
+    """
+    out = merged(names, content)
     return out.orderBy("tier", F.desc_nulls_last("match"), F.desc_nulls_last("name_score"), F.desc_nulls_last("body_score"), "path").limit(limit).select("path", "match_kind", "score", "tier")
 
 

@@ -8,25 +8,16 @@ from pyspark.sql import functions as F
 from .docinfo import columns as info
 from .functions import paths, text
 from .operators import catalogue, history, mime, origin, search
-from .plans.request import Filter, Page, Request, Tables, answer
+from .operators import index as stored_index
+from .plans.request import Filter, Page, Request, Tables, answer, totals, with_available
+from .registry import ORACLES, QUERIES, query
 from .sources import tables as src
 from .streaming import reconcile
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-TERMS_SQL = rf"""terms as (select path, unnest(regexp_extract_all({text.fold_sql("text")}, '[\p{{L}}\p{{N}}]+')) as term from files),
+TERMS_SQL = rf"""terms as (select path, unnest(list_filter(regexp_extract_all({text.fold_sql("text")}, '[\p{{L}}\p{{N}}]+'), lambda t: strlen(t) < 40)) as term from files),
 postings as (select term, path, count(*) as tf from terms group by term, path),
 lengths as (select path, sum(tf) as dl from postings group by path),
 vocab as (select term, count(*) as df from postings group by term),
@@ -45,9 +36,14 @@ def files(spark: SparkSession, d: str, body: bool = False) -> DataFrame:
     return src.files(spark, d, body)
 
 
-def index(spark: SparkSession, d: str):
-    p = search.postings(files(spark, d, True).select("path", "text"))
-    return p, search.doc_len(p), search.vocab(p)
+def index(spark: SparkSession, d: str) -> stored_index.Index:
+    """The stored index of the collection, which the first query over a table writes and all later ones read."""
+    return stored_index.of(files(spark, d, True), src.read(spark, d, "documents"))
+
+
+def found(i: stored_index.Index, *words: str, tf: bool = True, limit: int | None = 20) -> DataFrame:
+    terms = [(k, w, 1.0) for k, w in enumerate(words)]
+    return search.search_content(i.postings, i.lengths, terms, tf, limit, i.stats_of("content"))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -61,8 +57,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 hit as (select path, sum({BM25_SQL}) as score, count(*) as k from postings join vocab using (term) join lengths using (path), stats where term in ('the', 'of') group by path)
 select path, round(score, 6) as score from hit where k = 2 order by score desc, path limit 20""")
 def content_and_bm25(spark, d):
-    p, n, _ = index(spark, d)
-    return rounded(search.search_content(p, n, [(0, "the", 1.0), (1, "of", 1.0)], limit=20), "score")
+    return rounded(found(index(spark, d), "the", "of"), "score")
 
 
 @query(f"""with {src.FILES_SQL}, {TERMS_SQL},
@@ -70,8 +65,7 @@ ones as (select term, path, 1 as tf from postings),
 hit as (select path, sum({BM25_SQL}) as score, count(*) as k from ones join vocab using (term) join lengths using (path), stats where term in ('der', 'die') group by path)
 select path, round(score, 6) as score from hit where k = 2 order by score desc, path limit 20""")
 def content_basic_mode(spark, d):
-    p, n, _ = index(spark, d)
-    return rounded(search.search_content(p, n, [(0, "der", 1.0), (1, "die", 1.0)], tf=False, limit=20), "score")
+    return rounded(found(index(spark, d), "der", "die", tf=False), "score")
 
 
 @query(f"""with {src.FILES_SQL}, {TERMS_SQL},
@@ -88,15 +82,14 @@ wanted as (select word, term, 1.0 as boost from others
 hit as (select path, sum(boost * {BM25_SQL}) as score, count(distinct word) as k from postings join wanted using (term) join vocab using (term) join lengths using (path), stats group by path)
 select path, round(score, 6) as score from hit where k = 2 order by score desc, path limit 20""")
 def content_word_forms(spark, d):
-    p, n, v = index(spark, d)
-    return rounded(search.search_content(p, n, search.query_terms(v, ["that", "ther"]), limit=20), "score")
+    i = index(spark, d)
+    return rounded(search.search_content(i.postings, i.lengths, search.query_terms(i.vocab, ["that", "ther"]), limit=20, stats=i.stats_of("content")), "score")
 
 
 @query(f"""with {src.FILES_SQL}, {TERMS_SQL}
 select least(count(*), 5000) as n from (select path from postings where term in ('the', 'and') group by path having count(*) = 2)""")
 def content_phrase_free_count(spark, d):
-    p, n, _ = index(spark, d)
-    return search.capped_count(search.search_content(p, n, [(0, "the", 1.0), (1, "and", 1.0)], limit=None))
+    return search.capped_count(found(index(spark, d), "the", "and", limit=None))
 
 
 @query(f"""with {src.FILES_SQL}, {TERMS_SQL},
@@ -104,12 +97,12 @@ begun as (select term, df, row_number() over (order by df desc, term) as rn from
 budget as (select term, df, rn, sum(df) over (order by rn) as s from begun where rn <= 32)
 select term, df from budget where rn = 1 or s <= 50000""")
 def prefix_vocab(spark, d):
-    return search.beginning(index(spark, d)[2], "the")
+    return search.beginning(index(spark, d).vocab, "the")
 
 
 @query(f"with {src.FILES_SQL}, {TERMS_SQL} select term, df from vocab")
 def doc_freq(spark, d):
-    return index(spark, d)[2]
+    return index(spark, d).vocab
 
 
 # names
@@ -136,12 +129,13 @@ names as (select * from judged where quality is not null)"""
 
 @query(f"with {src.FILES_SQL}, {NAME_HITS} select path, whole, quality, round(score, 6) as score from names order by whole desc, quality desc, score desc, mtime // 86400 desc, path limit 50")
 def name_search_rank(spark, d):
-    return rounded(search.search_names(files(spark, d), ["the", "in"]).select("path", "whole", "quality", "score"), "score")
+    i = index(spark, d)
+    return rounded(search.search_names(i.files, ["the", "in"], grams=i.grams, stats=i.stats_of("name")).select("path", "whole", "quality", "score"), "score")
 
 
 @query(f"with {src.FILES_SQL}, {NAME_SQL} select least(count(*), 5000) as n from (select path from grams where gram in ('the', 'her', 'ere') group by path having count(*) = 3)")
 def name_count(spark, d):
-    grams = search.name_grams(files(spark, d))
+    grams = index(spark, d).grams
     must = search.plan_name(["there"]).must
     found = grams.where(F.col("gram").isin(*must)).groupBy("path").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == len(must))
     return search.capped_count(found)
@@ -159,20 +153,92 @@ merged as (select coalesce(n.path, b.path) as path, n.score as name_score, whole
 select path, case tier when 0 then 'both' when 1 then 'name' else 'body' end as match_kind, round(coalesce(name_score, body_score), 6) as score, tier
 from merged order by tier, whole desc nulls last, quality desc nulls last, name_score desc nulls last, body_score desc nulls last, path limit 50""")
 def both_bands(spark, d):
-    p, n, _ = index(spark, d)
-    names = search.search_names(files(spark, d), ["the", "in"], None)
-    said = search.search_content(p, n, [(0, "that", 1.0), (1, "with", 1.0)], limit=None)
-    return rounded(search.search_both(names, said, 50), "score")
+    i = index(spark, d)
+    names = search.search_names(i.files, ["the", "in"], None, i.grams, i.stats_of("name"))
+    return rounded(search.search_both(names, found(i, "that", "with", limit=None), 50), "score")
 
 
-@query(f"""with {src.FILES_SQL}, {TERMS_SQL},
-hit as (select path, sum({BM25_SQL}) as score from postings join vocab using (term) join lengths using (path), stats where term in ('the', 'zz') group by path having count(*) = 1)
-select path, name, round(score, 6) as score, 'body' as match_kind, size, mtime, ext, mime, source from hit join files using (path)
-where ext in ('md', 'txt') and path >= '/home/src1/' and path < '/home/src10' and term_free order by score desc, path offset 2 limit 5""".replace(" and term_free", "").replace("'/home/src10'", "'/home/src10'").replace("in ('the', 'zz')", "in ('the')"))
+THE_SQL = f"""begun as (select term, df, row_number() over (order by df desc, term) as rn from vocab where starts_with(term, 'the')),
+budget as (select term, rn, sum(df) over (order by rn) as s from begun where rn <= 32),
+others as (select distinct term from budget where (rn = 1 or s <= 50000) and term <> 'the'),
+wanted as (select term, 1.0 as boost from others union all select 'the', case when exists (select 1 from others) then 2.0 else 1.0 end),
+hit as (select path, sum(boost * {BM25_SQL}) as score from postings join wanted using (term) join vocab using (term) join lengths using (path), stats group by path)"""
+PAGE_SQL = "mtime, ext, mime, source, true as available"
+
+
+@query(f"""with {src.FILES_SQL}, {TERMS_SQL}, {THE_SQL}
+select path, name, round(score, 6) as score, 'body' as match_kind, size, {PAGE_SQL} from hit join files using (path)
+where ext in ('md', 'txt') and path >= '/home/src1/' and path < '/home/src10' order by hit.score desc, path offset 2 limit 5""")
 def request_content_page(spark, d):
-    p, n, v = index(spark, d)
-    t = Tables(files(spark, d), p, n, v.where("term = 'the'"))
-    return rounded(answer(t, Request("the", "content", Filter(under="/home/src1", ext=("md", ".TXT")), Page(2, 5))), "score")
+    """The only word also stands for what it begins."""
+    return rounded(answer(Tables.of(index(spark, d)), Request("the", "content", Filter(under="/home/src1", ext=("md", ".TXT")), Page(2, 5))), "score")
+
+
+@query(f"""with {src.FILES_SQL}, {TERMS_SQL}, {THE_SQL}, n as (select least(count(*), 5000) as total from hit join files using (path) where ext = 'md')
+select total, case when 60 < total then 60::bigint end as next_offset from n""")
+def request_total(spark, d):
+    return totals(Tables.of(index(spark, d)), Request("The", "content", Filter(ext=("md",)), Page(50, 10)))
+
+
+@query(f"""with {src.FILES_SQL}, {NAME_HITS}
+select path, name, round(n.score, 6) as score, 'name' as match_kind, size, f.mtime, ext, mime, source, true as available from names n join files f using (path)
+where size between 100 and 100000 order by whole desc, quality desc, n.score desc, f.mtime // 86400 desc, path offset 1 limit 20""")
+def request_name_page(spark, d):
+    return rounded(answer(Tables.of(index(spark, d)), Request("The_in", "anything", Filter(size=(100, 100_000)), Page(1, 20))), "score")
+
+
+@query(f"""with {src.FILES_SQL}, {TERMS_SQL}, {NAME_HITS}, {THE_SQL.replace("hit as", "the_hit as")},
+in_forms as (select term, df, row_number() over (order by df desc, term) as rn from vocab where term in ({", ".join(f"'{w}'" for w in search.inflections("in")) or "''"})),
+two as (select path, sum({BM25_SQL}) as score from postings join vocab using (term) join lengths using (path), stats where term = 'in' group by path),
+one as (select path, sum(boost * {BM25_SQL}) as score from postings join (select 'the' as term, case when exists (select 1 from vocab where term in ({", ".join(f"'{w}'" for w in search.inflections("the")) or "''"})) then 2.0 else 1.0 end as boost) w using (term)
+  join vocab using (term) join lengths using (path), stats group by path),
+body as (select path, one.score + two.score as body_score from one join two using (path)),
+merged as (select coalesce(n.path, b.path) as path, n.score as name_score, whole, quality, body_score,
+  case when n.path is not null and b.path is not null then 0 when n.path is not null then 1 else 2 end as tier from names n full join body b on n.path = b.path)
+select path, name, round(coalesce(name_score, body_score), 6) as score, case tier when 0 then 'both' when 1 then 'name' else 'body' end as match_kind, size, mtime, ext, mime, source, true as available
+from merged join files using (path) order by tier, whole desc nulls last, quality desc nulls last, name_score desc nulls last, body_score desc nulls last, path limit 40""")
+def request_both_page(spark, d):
+    return rounded(answer(Tables.of(index(spark, d)), Request("the in", "both", page=Page(0, 40))), "score")
+
+
+@query(f"""with {src.FILES_SQL} select path, name, 0.0::double as score, 'name' as match_kind, size, {PAGE_SQL} from files
+where not starts_with(path, '/home/src3/') or path like '/home/src3/en/%' order by mtime desc, path limit 30""")
+def request_list_page(spark, d):
+    """One source is away and shown only where it is retained; the page is taken of what can be shown."""
+    i = index(spark, d)
+    sources = spark.createDataFrame([("/home/src3", False, False), ("/home/src3/en", False, True), ("/home", True, False)], "prefix string, available boolean, retained boolean")
+    shown = with_available(i.files, sources).drop("available")
+    return answer(Tables(shown, i.postings, i.lengths, i.vocab), Request("", "list", page=Page(0, 30)))
+
+
+@query(f"""with {src.FILES_SQL}, page as (select * from files where mime = 'text/markdown' order by size desc, path limit 60)
+select path, name, 0.0::double as score, 'name' as match_kind, size, mtime, ext, mime, source, not (starts_with(path, '/home/src2/') or starts_with(path, '/home/src5/')) as available
+from page where not starts_with(path, '/home/src2/')""")
+def request_largest_page(spark, d):
+    """Hits of a source that is away are dropped from the page, those of a retained one are shown as not available."""
+    i = index(spark, d)
+    sources = spark.createDataFrame([("/home/src2", False, False), ("/home/src5", False, True)], "prefix string, available boolean, retained boolean")
+    return answer(Tables.of(i, sources=sources), Request("", "largest", Filter(mime=("text/markdown",)), Page(0, 60)))
+
+
+HAN = "报告会议记录销售额量部门季度文书信"
+
+
+@query(f"""with files as (select '/h/' || doc_id as path, '本' || substr('{HAN}', (doc_id % 11)::int + 1, 4) || ' ' || substr('{HAN}', (doc_id // 11 % 13)::int + 1, 3) as text from documents),
+runs as (select path, unnest(string_split(text, ' ')) as r from files),
+terms as (select path, unnest(list_concat(list_transform(generate_series(1, length(r) - 1), lambda i: substr(r, i, 2)), string_split(r, ''))) as term from runs),
+postings as (select term, path, count(*) as tf from terms group by term, path),
+lengths as (select path, sum(tf) as dl from postings group by path), vocab as (select term, count(*) as df from postings group by term),
+stats as (select count(*) as n, avg(dl) as avgdl from lengths),
+hit as (select path, sum({BM25_SQL}) as score, count(*) as k from postings join vocab using (term) join lengths using (path), stats where term in ('销售', '售额') group by path)
+select path, round(score, 6) as score from hit where k = 2 order by score desc, path limit 50""")
+def content_unspaced(spark, d):
+    """Text without spaces: a run of three characters is asked for by its pairs."""
+    doc = F.col("doc_id")
+    docs = src.read(spark, d, "documents").select(F.concat(F.lit("/h/"), doc.cast("string")).alias("path"), F.concat(F.lit("本"), F.lit(HAN).substr((doc % 11 + 1).cast("int"), F.lit(4)), F.lit(" "), F.lit(HAN).substr((F.floor(doc / 11) % 13 + 1).cast("int"), F.lit(3))).alias("text"))
+    p = search.postings(docs)
+    terms = [(k, w, 1.0) for k, w in enumerate(search.content_words(spark, "销售额"))]
+    return rounded(search.search_content(p, search.doc_len(p), terms), "score")
 
 
 # listings and filters
@@ -392,9 +458,9 @@ def stopword_language(spark, d):
     return src.read(spark, d, "documents").select("doc_id", text.stopword_language(F.col("text")).alias("language"))
 
 
-@query("select event_id, cast(greatest(event_id * 60000000 + 11644473600000000 - 1, 0) // 1000000 - 11644473600 as bigint) as unix from events where event_id > 0")
+@query("select event_id, greatest(cast((event_id * 60000000 + 11644473600000000 - 1) // 1000000 - 11644473600 as bigint), 0) as unix from (select event_id - 5000 as event_id from events)")
 def webkit_epoch(spark, d):
-    e = src.read(spark, d, "events").where("event_id > 0")
+    e = src.read(spark, d, "events").withColumn("event_id", F.col("event_id") - 5000)
     return e.select("event_id", text.webkit_to_unix(F.col("event_id") * 60_000_000 + F.lit(11_644_473_600_000_000) - 1).alias("unix"))
 
 
@@ -471,16 +537,13 @@ ORIGIN_SQL = f"""origins as (select doc_id, path, case when domain is null then
   coalesce(domain, '') as label, domain, mtime + 60 as updated_at from files join (select page_id as doc_id, {DOMAIN_SQL} as domain from pages) p using (doc_id))"""
 
 
+TAKE_SQL = "o.path is null or (n.path is not null and (n.kind <> 'web_download' or o.kind = 'web_download'))"
+
+
 @query(f"""with {src.FILES_SQL}, {ORIGIN_SQL},
 old as (select path, case when doc_id % 3 = 0 then 'local_copy' else kind end as kind, confidence, label, updated_at from origins where doc_id % 2 = 0),
 new as (select path, kind, 2 as confidence, 'new' as label, updated_at + 1 as updated_at from origins where doc_id % 5 <> 0)
-select coalesce(n.path, o.path) as path, case when t then n.kind else o.kind end as kind, case when t then n.confidence else o.confidence end as confidence,
-  case when t then n.label else o.label end as label, case when t then n.updated_at else o.updated_at end as updated_at
-from (select *, o.path is null or (n.path is not null and (n.kind <> 'web_download' or o.kind = 'web_download')) as t from old o full join new n on o.path = n.path) x(path_, okind, oconf, olabel, oup, npath, nkind, nconf, nlabel, nup, t)""".split("select coalesce(n.path")[0] + """select coalesce(n.path, o.path) as path,
-  case when o.path is null or (n.path is not null and (n.kind <> 'web_download' or o.kind = 'web_download')) then n.kind else o.kind end as kind,
-  case when o.path is null or (n.path is not null and (n.kind <> 'web_download' or o.kind = 'web_download')) then n.confidence else o.confidence end as confidence,
-  case when o.path is null or (n.path is not null and (n.kind <> 'web_download' or o.kind = 'web_download')) then n.label else o.label end as label,
-  case when o.path is null or (n.path is not null and (n.kind <> 'web_download' or o.kind = 'web_download')) then n.updated_at else o.updated_at end as updated_at
+select coalesce(n.path, o.path) as path, {", ".join(f"case when {TAKE_SQL} then n.{c} else o.{c} end as {c}" for c in ("kind", "confidence", "label", "updated_at"))}
 from old o full join new n on o.path = n.path""")
 def origin_upsert(spark, d):
     o = src.origins(spark, d)
@@ -516,9 +579,13 @@ def document_dates(spark, d):
     return src.read(spark, d, "documents").select("doc_id", F.array_join(info.dates(F.col("text")), " ").alias("dates"))
 
 
-@query(r"""with c as (select page_id, unnest(regexp_extract_all(html, '\b(\d{4})-(\d{2})-(\d{2})\b')) as d from pages) select page_id, d from c where try_cast(d as date) is not null""")
+@query(r"""with t as (select doc_id, text || ' on 20' || lpad((doc_id % 40)::varchar, 2, '0') || '-' || lpad((doc_id % 14)::varchar, 2, '0') || '-' || lpad((doc_id % 33)::varchar, 2, '0') || '.' as text from documents),
+c as (select doc_id, unnest(regexp_extract_all(text, '\b(\d{4})-(\d{2})-(\d{2})\b')) as d from t) select doc_id, d from c where try_cast(d as date) is not null""")
 def iso_dates(spark, d):
-    p = src.read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(info._ISO), F.lit(0))).alias("d"))
+    """Texts with a date of their number at the end, which exists or not."""
+    two = lambda n: F.lpad((F.col("doc_id") % n).cast("string"), 2, "0")
+    t = F.concat("text", F.lit(" on 20"), two(40), F.lit("-"), two(14), F.lit("-"), two(33), F.lit("."))
+    p = src.read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(t, F.lit(info._ISO), F.lit(0))).alias("d"))
     return p.where(info.calendar(F.substring("d", 1, 4), F.substring("d", 6, 2), F.substring("d", 9, 2)).isNotNull())
 
 

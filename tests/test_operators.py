@@ -69,6 +69,7 @@ def test_domain(spark, url, want):
 def test_text_functions(spark):
     assert one(spark, text.webkit_to_unix(F.lit(13432880999211718))) == 1788407399
     assert one(spark, text.html_text(F.lit("<p>a<b>b</b></p><script>x</script>c &amp;lt; d<style>z"))) == "\nab\nc &lt; d"
+    assert one(spark, text.decode_entities(F.lit("&#8212;&#x2014;&#X1F600;&amp;amp;&ccedil;&#0;&#xD800;&nbsp;a & b;"))) == "——😀&amp;&ccedil;&#0;&#xD800; a & b;"
     assert one(spark, text.html_element(F.lit("<TITLE> a\n b </TITLE>"), "title")) == "a b"
     assert one(spark, text.lines(F.lit("a\r\nb\x0bc\n"))) == ["a", "b", "c"]
     assert one(spark, text.markdown_headings(F.lit("# a\n## b\n# c\ntext"))) == ["a", "c", "b"]
