@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 HOUR, DAY, WEEK = 3600, 86400, 604800
 
 
@@ -58,14 +60,20 @@ def retention(versions: DataFrame, now: int, keep_versions: int = 10, keep_days:
     return versions.join(kept, ["file_id", "id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def _sizes(versions: DataFrame) -> DataFrame:
+    """(file_id, bytes): of each file what all its versions but the newest take, by one aggregate."""
+    newest_size = F.max(F.struct("saved_at", "id", "size"))["size"]
+    return versions.groupBy("file_id").agg((F.sum("size") - newest_size).alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
 def cost(versions: DataFrame) -> DataFrame:
     """(bytes): what all versions but each file's newest take."""
-    return ranked(versions).where("rn > 1").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes"))
+    return _sizes(versions).agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def hogs(versions: DataFrame, budget: int) -> DataFrame:
     """(file_id, bytes) of files whose older versions take over a tenth of the budget."""
-    return ranked(versions).where("rn > 1").groupBy("file_id").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * 10 > budget)
+    return _sizes(versions).where(F.col("bytes") * 10 > budget)
 
 
 def evict(versions: DataFrame, need: int, buckets: int = 64) -> DataFrame:
@@ -97,8 +105,133 @@ def budget_bytes(gib: int, disk: int) -> int:
 DOCUMENTS = ("odt", "ods", "odp", "odg", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "rtf", "md", "txt")
 
 
+def may_be_a_document(name: Column) -> Column:
+    """By name alone: a document's extension, no mark of lock, backup or temporary files."""
+    low = F.lower(name)
+    marks = low.startswith("~$") | low.startswith(".~lock") | low.endswith("~") | low.endswith(".tmp") | low.endswith(".bak")
+    return F.regexp_extract(low, r"(?s)^.+\.([^.]+)$", 1).isin(*DOCUMENTS) & ~marks
+
+
 def eligible(files: DataFrame, largest: int = 128 << 20) -> DataFrame:
     """Files of a document's type, not empty and of at most 128 MiB, that are no lock, backup or temporary files."""
-    name = F.lower("name")
-    marks = name.startswith("~$") | name.startswith(".~lock") | name.endswith("~") | name.endswith(".tmp") | name.endswith(".bak")
-    return files.where(F.col("ext").isin(*DOCUMENTS) & ~marks & (F.col("size") > 0) & (F.col("size") <= largest))
+    return files.where(may_be_a_document(F.col("name")) & (F.col("size") > 0) & (F.col("size") <= largest))
+
+
+def earlier(versions: DataFrame, live: DataFrame) -> DataFrame:
+    """versions(file_id, id, saved_at, mtime_s, mtime_ns, size, ...) but those equal to their file's live state.
+
+    live(file_id, mtime_s, mtime_ns, size); a file that isn't there has all its versions listed. Lists are ordered by
+    (saved_at, id), newest first.
+    """
+    now = live.select("file_id", F.struct("mtime_s", "mtime_ns", "size").alias("live"))
+    out = versions.join(now, "file_id", "left")
+    return out.where(F.col("live").isNull() | (F.col("live") != F.struct("mtime_s", "mtime_ns", "size"))).drop("live")
+
+
+def kept_already(files: DataFrame, versions: DataFrame) -> DataFrame:
+    """(file_id) of files(file_id, mtime_s, mtime_ns, size) whose newest version is their state, to the nanosecond."""
+    last = versions.groupBy("file_id").agg(F.max_by(F.struct("mtime_s", "mtime_ns", "size"), F.struct("saved_at", "id")).alias("last"))
+    return files.join(last, "file_id").where(F.col("last") == F.struct("mtime_s", "mtime_ns", "size")).select("file_id")
+
+
+def mark_undo(versions: DataFrame, files: DataFrame) -> DataFrame:
+    """versions with before_restore as the reason of the newest of each of files(file_id)."""
+    last = versions.join(files.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.max_by("id", F.struct("saved_at", "id")).alias("undo"))
+    out = versions.join(last, "file_id", "left")
+    return out.withColumn("reason", F.when(F.col("id") == F.col("undo"), "before_restore").otherwise(F.col("reason"))).drop("undo")
+
+
+def place(seen: DataFrame, files: DataFrame, present: DataFrame) -> DataFrame:
+    """seen(path, dev, ino, born) with the id of its row in files(id, path, dev, ino, born, created_at), null if it is new.
+
+    The path decides, as a save may replace what lies there. Else it is the newest row of the same dev and ino, and of
+    the same birth where both are known, if nothing lies at that row's path in present(path) any more.
+    """
+    by_path = files.select("path", F.col("id").alias("by_path"))
+    gone = files.join(present.select("path"), "path", "left_anti")
+    gone = gone.select("dev", "ino", F.col("born").alias("was_born"), "created_at", F.col("id").alias("moved"))
+    out = seen.join(by_path, "path", "left")
+    moved = out.where("by_path is null").join(gone, ["dev", "ino"]).where("born is null or was_born is null or born = was_born")
+    moved = moved.groupBy("path").agg(F.max_by("moved", F.struct("created_at", "moved")).alias("by_identity"))
+    return out.join(moved, "path", "left").withColumn("id", F.coalesce("by_path", "by_identity")).drop("by_path", "by_identity")
+
+
+def follow_renames(files: DataFrame, versions: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, versions) after renames(from, to), each name once: rows move, versions of what was overwritten join them.
+
+    Only renames to a name that may be a document's count; files that have no row are left alone.
+    """
+    good = renames.where(may_be_a_document(F.substring_index("to", "/", -1)))
+    moved = good.join(files.select(F.col("path").alias("from"), F.col("id").alias("from_id")), "from")
+    hit = moved.join(files.select(F.col("path").alias("to"), F.col("id").alias("to_id")), "to").where("from_id <> to_id")
+    rest = files.join(hit.select(F.col("to_id").alias("id")), "id", "left_anti")
+    new = rest.join(moved.select(F.col("from_id").alias("id"), "to"), "id", "left")
+    new = new.withColumn("missing_since", F.when(F.col("to").isNull(), F.col("missing_since"))).withColumn("path", F.coalesce("to", "path")).drop("to")
+    joined = versions.join(hit.select(F.col("to_id").alias("file_id"), "from_id"), "file_id", "left")
+    return new.select(*files.columns), joined.withColumn("file_id", F.coalesce("from_id", "file_id")).select(*versions.columns)
+
+
+def presence(files: DataFrame, present: DataFrame, now: int, grace: int = 7 * DAY) -> DataFrame:
+    """files(id, path, missing_since) with state and missing_since after a look at what is there.
+
+    back: was missing and isn't; missing: gone since now; expired: gone for longer than the grace, to be forgotten;
+    else same.
+    """
+    here = present.select("path", F.lit(True).alias("here"))
+    out = files.join(here, "path", "left")
+    there, since = F.coalesce("here", F.lit(False)), F.col("missing_since")
+    state = F.when(there & since.isNotNull(), "back").when(~there & since.isNull(), "missing").when(~there & (F.lit(now) - since > grace), "expired").otherwise("same")
+    out = out.withColumn("state", state)
+    return out.withColumn("missing_since", F.when(F.col("state") == "missing", F.lit(now)).when(F.col("state") != "back", since).cast("bigint")).drop("here")
+
+
+def forget(files: DataFrame, versions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, versions) without those of gone(id)."""
+    ids = gone.select("id").distinct()
+    return files.join(ids, "id", "left_anti"), versions.join(ids.withColumnRenamed("id", "file_id"), "file_id", "left_anti")
+
+
+def orphans(versions: DataFrame, objects: DataFrame) -> DataFrame:
+    """(object, what): versions without an object (row) and objects(object) that no version claims (object)."""
+    v, o = versions.select("object").distinct(), objects.select("object").distinct()
+    return v.join(o, "object", "left_anti").withColumn("what", F.lit("row")).union(o.join(v, "object", "left_anti").withColumn("what", F.lit("object")))
+
+
+# fixed values: free bytes under which no versions are kept, and how many times the store's cost must be free
+LOW_DISK, FREE_TO_STORE = 2 << 30, 10
+
+
+def low_disk(cost: Column) -> tuple[Column, Column]:
+    """(free bytes under which no versions are kept, free bytes that are climbed back to)."""
+    threshold = F.greatest(F.lit(LOW_DISK).cast("bigint"), cost.cast("bigint") * FREE_TO_STORE)
+    return threshold, threshold + F.floor(threshold / 4)
+
+
+def give_back(versions: DataFrame, free: int) -> DataFrame:
+    """(id, size) of the oldest versions to drop so that the disk recovers: none while it isn't low."""
+    n = cost(versions).first()["bytes"]
+    threshold = max(LOW_DISK, n * FREE_TO_STORE)
+    need = threshold + threshold // 4 - free if free < threshold else 0
+    return evict(versions, need)
+
+
+def left_to_git(files: DataFrame, trees: DataFrame, ignored: DataFrame, skip_repositories: bool = True, respect_gitignore: bool = True) -> DataFrame:
+    """(path) of files in work trees trees(root) that git looks after: all of them, or only those of ignored(path)."""
+    up = files.select("path", F.explode(paths.ancestors(F.col("path"))).alias("root"))
+    inside = up.join(trees.select("root"), "root", "left_semi").select("path").distinct()
+    if skip_repositories:
+        return inside
+    return inside.join(ignored.select("path"), "path", "left_semi") if respect_gitignore else inside.limit(0)
+
+
+def to_save(files: DataFrame, versions: DataFrame, git: DataFrame, paused: bool = False) -> DataFrame:
+    """(file_id, path, reason) of files(file_id, path, name, ext, size, mtime_s, mtime_ns) that earn a version now.
+
+    Documents that git (path) doesn't look after and whose state isn't kept. The first version of a file is its
+    baseline, which costs nothing and is taken even while space is short; others are saves.
+    """
+    good = eligible(files).join(git.select("path"), "path", "left_anti").join(kept_already(files, versions), "file_id", "left_anti")
+    known = versions.select("file_id").distinct().withColumn("known", F.lit(True))
+    out = good.join(known, "file_id", "left").withColumn("reason", F.when(F.col("known"), "saved").otherwise("baseline"))
+    out = out.where("reason = 'baseline'") if paused else out
+    return out.select("file_id", "path", "reason")

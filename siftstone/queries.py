@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .docinfo import columns as info
+from .docinfo.analyze import analyze
 from .functions import paths, text
 from .operators import catalogue, history, mime, origin, search
 from .operators import index as stored_index
@@ -567,16 +568,84 @@ def downloads_on_disk(spark, d):
 
 # document information
 
-@query()
+#: What stands above and below the texts that are read as papers, by doc_id modulo 4; k is the doc_id, d a day
+PAPERS = (
+    ("CONTRATO DE LOCAÇÃO RESIDENCIAL {k}\nLocador: Ana Braga", "Porto Alegre, {d} de abril de 2026."),
+    ("Subject: Plans for week {k}\nFrom: Ann Lee <ann@example.org>\nLisbon, October {d}, 2025", "Bye"),
+    ("INVOICE No {k}\nLondon, 2024-05-{dd}\nDue date: 2024-06-{dd}\nCompany name: Acme Tools {k}", "Thanks"),
+    ("ATA DA REUNIÃO {k}\nPrefeitura de Vila {k}", "Aos {w} dias do mês de maio do ano de dois mil e dezoito, encerrou a sessão."),
+)
+DAY_WORDS = ("onze", "doze", "treze", "vinte e um", "trinta")
+DAY_VALUES = (11, 12, 13, 21, 30)
+
+
+def _paper(part: int):
+    n = F.col("doc_id")
+    day = (n % 28 + 1).cast("string")
+    word = F.element_at(F.array(*(F.lit(w) for w in DAY_WORDS)), (n % 5 + 1).cast("int"))
+    out = F.lit(None).cast("string")
+    for k, parts in enumerate(PAPERS):
+        t = F.lit(parts[part])
+        for mark, value in (("{k}", n.cast("string")), ("{dd}", F.lpad(day, 2, "0")), ("{d}", day), ("{w}", word)):
+            t = F.replace(t, F.lit(mark), value)
+        out = F.when(n % 4 == k, t).otherwise(out)
+    return out
+
+
+def papers(spark, d) -> DataFrame:
+    """(doc_id, ext, text): documents with the lines of a contract, a mail, a bill or minutes around them."""
+    return files(spark, d, True).select("doc_id", "ext", F.concat(_paper(0), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"), _paper(1)).alias("text"))
+
+
+def _paper_sql(part: int) -> str:
+    out = "case doc_id % 4"
+    for k, parts in enumerate(PAPERS):
+        t = "'" + parts[part].replace("\n", "' || chr(10) || '") + "'"
+        for mark, value in (("{k}", "doc_id"), ("{dd}", "lpad((doc_id % 28 + 1)::varchar, 2, '0')"), ("{d}", "(doc_id % 28 + 1)"), ("{w}", f"{list(DAY_WORDS)}[doc_id % 5 + 1]")):
+            t = t.replace(mark, f"' || {value} || '")
+        out += f" when {k} then {t}"
+    return out + " end"
+
+
+PAPERS_SQL = f"papers as (select doc_id, ext, {_paper_sql(0)} || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || {_paper_sql(1)} as text from files)"
+RULES_SQL = "rules(i, lang, kind, p) as (values " + ", ".join(f"({i}, '{lang}', '{kind}', '{p}')" for i, (lang, kind, p) in enumerate(info.RULES)) + ")"
+LABELS_SQL = "labels_(lang, kind, label) as (values " + ", ".join(f"('{lang}', '{k}', '{v}')" for lang, names in info.LABELS.items() for k, v in names.items()) + ")"
+NORM_SQL = "trim(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+@query(f"""with {src.FILES_SQL}, {PAPERS_SQL}, {RULES_SQL}, {LABELS_SQL}, h as (select doc_id, {NORM_SQL.format(text.fold_sql("left(text, 600)"))} as head from papers),
+m as (select doc_id, i, lang, kind, length(regexp_extract(head, '^(.*?)(?:' || p || ')', 1)) as place from h, rules where regexp_matches(head, p)),
+best as (select doc_id, arg_min(kind, (place, i)) as kind, arg_min(lang, (place, i)) as lang from m group by doc_id)
+select h.doc_id, b.kind, b.lang, label from h left join best b using (doc_id) left join labels_ l on l.lang = b.lang and l.kind = b.kind""")
 def kind_rules(spark, d):
-    heads = src.read(spark, d, "documents").select("doc_id", info.head(F.col("text")).alias("head"))
+    heads = papers(spark, d).select("doc_id", info.head(F.col("text")).alias("head"))
     k = heads.select("doc_id", info.kind(F.col("head")).alias("k"))
     return k.select("doc_id", F.col("k.kind").alias("kind"), F.col("k.lang").alias("lang"), info.label(F.col("k.kind"), F.col("k.lang")).alias("label"))
 
 
+INFO_SQL = f"""select doc_id, ['contrato', null, 'nota_fiscal', 'ata'][doc_id % 4 + 1] as kind,
+  case doc_id % 4 when 0 then '2026-04-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') when 1 then '2025-10-' || lpad((doc_id % 28 + 1)::varchar, 2, '0')
+    when 2 then '2024-05-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') else '2018-05-' || {list(DAY_VALUES)}[doc_id % 5 + 1] end as date,
+  case doc_id % 4 when 0 then 'Ana Braga' when 1 then 'Ann Lee' when 2 then 'Acme Tools ' || doc_id else 'Prefeitura de Vila ' || doc_id end as entity,
+  case doc_id % 4 when 0 then 'CONTRATO DE LOCAÇÃO RESIDENCIAL ' || doc_id when 1 then 'Plans for week ' || doc_id when 2 then 'INVOICE No ' || doc_id else 'ATA DA REUNIÃO ' || doc_id end as title,
+  case doc_id % 4 when 0 then '2026-04-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || ' Contrato de locação residencial ' || doc_id when 1 then '2025-10-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || ' Plans for week ' || doc_id
+    when 2 then '2024-05-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || ' INVOICE No ' || doc_id else '2018-05-' || {list(DAY_VALUES)}[doc_id % 5 + 1] || ' Ata da reunião ' || doc_id end || '.' || ext as suggested_name from files"""
+
+
+@query(f"with {src.FILES_SQL} {INFO_SQL}")
+def document_info(spark, d):
+    """What is read from the whole texts between lines that say whose and of what day they are."""
+    return analyze(papers(spark, d)).select("doc_id", "kind", "date", "entity", "title", "suggested_name")
+
+
+@query()
+def highlights(spark, d):
+    return analyze(src.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "highlights")
+
+
 @query()
 def document_dates(spark, d):
-    return src.read(spark, d, "documents").select("doc_id", F.array_join(info.dates(F.col("text")), " ").alias("dates"))
+    return papers(spark, d).select("doc_id", F.array_join(info.dates(F.col("text")), " ").alias("dates"))
 
 
 @query(r"""with t as (select doc_id, text || ' on 20' || lpad((doc_id % 40)::varchar, 2, '0') || '-' || lpad((doc_id % 14)::varchar, 2, '0') || '-' || lpad((doc_id % 33)::varchar, 2, '0') || '.' as text from documents),
@@ -592,17 +661,34 @@ def iso_dates(spark, d):
 @query()
 def suggested_names(spark, d):
     t = F.col("text")
-    docs = files(spark, d, True).select("doc_id", "ext", info.head(t).alias("head"), F.get(text.content_lines(t), F.lit(0)).alias("title"), F.get(info.dates(t), F.lit(0)).alias("date"))
+    docs = papers(spark, d).select("doc_id", "ext", info.head(t).alias("head"), F.get(text.content_lines(t), F.lit(0)).alias("title"), F.get(info.dates(t), F.lit(0)).alias("date"))
     docs = docs.withColumn("k", info.kind(F.col("head"))).withColumn("kind", info.label(F.col("k.kind"), F.col("k.lang")))
     return docs.select("doc_id", info.suggested_name(F.col("date"), F.col("kind"), F.left("title", F.lit(200)), F.col("ext")).alias("name"))
 
 
-@query()
+# sentences are parted without lookaround: a mark is put where one ends, twice, as ends may share a character
+_WRAP = "regexp_replace({}, '([^.!?:;])\\n(\\p{{Ll}})', '\\1 \\2', 'g')"
+_PART = "regexp_replace({}, '([.!?])\\s+([0-9A-ZÀ-Ý\"“(])', '\\1' || chr(1) || '\\2', 'g')"
+TFIDF_SQL = f"""pieces as (select doc_id, string_split_regex({_PART.format(_PART.format(_WRAP.format(_WRAP.format("text"))))}, '[\\n\\x01]') as ps from documents where text is not null),
+good as (select doc_id, list_filter(ps, lambda s: len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) >= 6 and length(regexp_replace(s, '\\P{{L}}+', '', 'g')) > 0
+  and 2 * length(regexp_replace(s, '\\P{{Lu}}+', '', 'g')) < length(regexp_replace(s, '\\P{{L}}+', '', 'g'))) as ss from pieces),
+sent as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) - 1 as sentence from good),
+n as (select doc_id, count(*) as n from sent group by doc_id),
+words as (select doc_id, sentence, unnest(string_split({NORM_SQL.format(text.fold_sql("s"))}, ' ')) as term from sent),
+t as (select doc_id, sentence, term, count(*) as c from words where length(term) >= 2 group by all),
+df as (select doc_id, term, count(*) as df from t group by all),
+raw as (select doc_id, sentence, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) as w from t join df using (doc_id, term) join n using (doc_id)),
+len as (select doc_id, sentence, sqrt(sum(w * w)) as l from raw group by all),
+weights as (select doc_id, sentence, term, w / l / (1 + 1e-9) as weight from raw join len using (doc_id, sentence))"""
+
+
+@query(f"with {TFIDF_SQL} select doc_id, sentence, term, round(weight, 6) as weight from weights")
 def tfidf_terms(spark, d):
     return rounded(info.tfidf(src.read(spark, d, "documents")), "weight")
 
 
-@query()
+@query(f"""with {TFIDF_SQL}, centre as (select doc_id, term, sum(weight) as m from weights group by all), size as (select doc_id, sqrt(sum(m * m)) as size from centre group by all)
+select doc_id, sentence, round(sum(weight * m / size), 6) as rel from weights join centre using (doc_id, term) join size using (doc_id) group by all""")
 def sentence_relevance(spark, d):
     return rounded(info.relevance(src.read(spark, d, "documents")), "rel")
 
@@ -631,5 +717,8 @@ def name_doc_stale(spark, d):
     return reconcile.name_doc_stale(old, f)
 
 
+from . import work_queries  # noqa: E402,F401  they register themselves
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return content_and_bm25(spark, d)
