@@ -15,10 +15,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers that aren't digits, as superscripts and fractions, which \\w takes for parts of words
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: Characters that aren't letters, joined by a space before compressing
-_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't digits, as superscripts and fractions, which \\w takes for parts of words (those of one UTF-16
+#: unit, which the pattern finds fast)
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 #: Learned texts and dictionary bytes for each language, and bytes that one text may give
 TEXTS, DICT_BYTES, TEXT_BYTES = 400, 112 << 10, 2 << 10
 LEVEL = 9
@@ -30,6 +31,8 @@ BLOCK_BYTES = 160 << 10
 
 
 def cleaned(text: str) -> bytes:
+    if not text.isascii():
+        text = _NUMBERS.sub(" ", text)
     return _NOT_LETTERS.sub(" ", text).strip().lower().encode()
 
 
@@ -99,7 +102,7 @@ def predict(text: str | None, model: tuple[tuple[str, bytes], ...], margin: floa
     languages, kept within 0 and 1 by construction.
     """
     data = cleaned(text or "")
-    if not data or not model:
+    if not data or not model or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0, True
     parts = blocks(data)
     sizes = sorted((sum(len(c.compress(x)) for x in parts), lang) for lang, c in _compressors(model, level))
