@@ -212,6 +212,13 @@ def webkit_to_unix(micros: Column) -> Column:
     return F.greatest(((micros - F.pmod(micros, F.lit(1_000_000))) / 1_000_000).cast("bigint") - F.lit(11_644_473_600), F.lit(0).cast("bigint"))
 
 
+def percent_decoded(value: Column) -> Column:
+    """%hh as bytes of UTF-8; a plus sign stays, what isn't two hexadecimal digits too."""
+    pieces = F.regexp_extract_all(value, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    digits = F.transform(pieces, lambda x: F.when(x.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(x, 2, 2)).otherwise(F.hex(F.encode(x, "UTF-8"))))
+    return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
+
+
 def normalize_tag(tag: Column) -> Column:
     return F.concat(F.lit("xdgtag"), F.regexp_replace(F.lower(tag), r"[^\p{L}\p{N}]+", ""))
 

@@ -357,3 +357,22 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     by = ["folder", "stem", "ext"]
     free = free.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("k"))).select(*by, "place", "name")
     return wanted.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("order"))).join(free, [*by, "place"], "left").drop("place")
+
+
+def shared_identity(files: DataFrame, limit: int = 1024) -> DataFrame:
+    """files(path, dev, ino, size, links, extents) with identity: what tells that two paths are one content on the disk.
+
+    Hard links are one by device, number and size. Otherwise all extents(start, length, physical, shared) must be
+    physical and shared, and at most limit of them; files that have none are no one's copies. Equal texts are not.
+    """
+    linked = F.col("links") > 1
+    good = F.size("extents").between(1, limit) & F.forall("extents", lambda e: e["physical"] & e["shared"])
+    listed = F.sha2(F.concat_ws(",", F.transform("extents", lambda e: F.concat_ws("+", e["start"].cast("string"), e["length"].cast("string")))), 256)
+    by_extents = F.concat_ws(":", F.lit("e"), F.col("dev").cast("string"), F.col("size").cast("string"), listed)
+    by_number = F.concat_ws(":", F.lit("i"), F.col("dev").cast("string"), F.col("ino").cast("string"), F.col("size").cast("string"))
+    return files.withColumn("identity", F.when(linked, by_number).when(good, by_extents))
+
+
+def recovery(states: DataFrame) -> DataFrame:
+    """divergence() with what is done about it: nothing, repair (missing names are added) or rebuild."""
+    return states.withColumn("action", F.when(F.col("state") == "fine", "nothing").when(F.col("state") == "repairable", "repair").otherwise("rebuild"))

@@ -16,16 +16,20 @@ from collections.abc import Iterable
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths
+from ..operators import catalogue, mime
 
 #: Bytes of a text that are kept, and of an archive's member that are inflated
 TEXT_CAP, INFLATE_CAP = 8 << 20, 64 << 20
 #: Members of an archive that are looked at (fixed values)
 MAX_ENTRIES, MAX_PARTS = 4096, 2000
-# fixed values: extensions by the way in which they are read
-PLAIN = frozenset("txt md markdown rst org tex csv tsv json xml yaml yml toml ini conf log py rs c h cpp hpp java js ts css sh sql go rb php pl lua".split())
 MARKUP = frozenset(["html", "htm", "xhtml"])
-OFFICE = {"docx": r"word/document\.xml", "odt": r"content\.xml", "ods": r"content\.xml", "odp": r"content\.xml", "xlsx": r"xl/sharedStrings\.xml", "pptx": r"ppt/slides/slide(\d+)\.xml"}
+PLAIN = frozenset(catalogue.TEXT) - MARKUP
+# fixed values: parts of office documents that are read
+OFFICE = {"docx": r"word/document\.xml", "odt": r"content\.xml", "ods": r"content\.xml", "odp": r"content\.xml", "xlsx": r"xl/worksheets/sheet(\d+)\.xml", "pptx": r"ppt/slides/slide(\d+)\.xml"}
 #: Elements that end a line in office documents, by local name
 _LINES = frozenset(["p", "h", "tr", "table-row", "si", "br", "line-break", "tab"])
 _BLOCK = re.compile(r"</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|blockquote|pre|title)\b[^>]*>", re.I)
@@ -68,16 +72,56 @@ def _xml_text(data: bytes) -> str:
     return "".join(parts)
 
 
+def percent_decoded(text: str) -> str:
+    """%hh as bytes of UTF-8; a plus sign stays, what isn't two hexadecimal digits too."""
+    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), text.encode())
+    return raw.decode("utf-8", "replace")
+
+
+def _sheet_text(data: bytes, shared: list[str]) -> str:
+    """Cells of a sheet, row by row: shared and inline strings, numbers and cached results as they are written."""
+    rows = []
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    for row in (e for e in ElementTree.fromstring(data).iter() if local(e) == "row"):
+        cells = []
+        for c in (e for e in row if local(e) == "c"):
+            kind = c.get("t")
+            value = next((e.text or "" for e in c if local(e) == "v"), "")
+            if kind == "s":
+                k = int(value) if value.isdigit() else -1
+                cells.append(shared[k] if 0 <= k < len(shared) else "")
+            elif kind == "inlineStr":
+                cells.append("".join(e.text or "" for e in c.iter() if local(e) == "t"))
+            elif kind != "b":
+                cells.append(value)
+        rows.append("\t".join(x for x in cells if x))
+    return "\n".join(x for x in rows if x)
+
+
+def _shared_strings(data: bytes) -> list[str]:
+    """Texts of a workbook's shared strings; phonetic readings are left out."""
+    out = []
+    for e in ElementTree.fromstring(data):
+        parts = [t.text or "" for x in e for t in ([x] if x.tag.endswith("}t") else x if x.tag.endswith("}r") else []) if t.tag.endswith("}t")]
+        out.append("".join(parts))
+    return out
+
+
 def office_text(data: bytes, ext: str) -> tuple[str | None, str | None]:
     """Text of the parts of a document in number order, and its declared title."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()[:MAX_ENTRIES]
         hits = [(int(m[1]) if m.groups() else 0, n) for n in names if (m := re.fullmatch(OFFICE[ext], n))]
         text, left = [], INFLATE_CAP
+        strings: list[str] = []
+        if ext == "xlsx" and "xl/sharedStrings.xml" in names:
+            body = _member(z, "xl/sharedStrings.xml", left)
+            left -= len(body)
+            strings = _shared_strings(body)
         for _, name in sorted(hits)[:512]:
             body = _member(z, name, left)
             left -= len(body)
-            text.append(_xml_text(body))
+            text.append(_sheet_text(body, strings) if ext == "xlsx" else _xml_text(body))
         title = None
         for name in ("docProps/core.xml", "meta.xml"):
             if name in names:
@@ -100,7 +144,7 @@ def epub_text(data: bytes) -> tuple[str | None, str | None]:
         for e in [e for e in root.iter() if e.tag.endswith("}itemref")][:MAX_PARTS]:
             href = items.get(e.get("idref"))
             if href and left > 0:
-                name = base + re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), href)
+                name = base + percent_decoded(href)
                 if name in z.namelist():
                     body = _member(z, name, left)
                     left -= len(body)
@@ -252,16 +296,139 @@ def describe(data: bytes | None, ext: str) -> tuple[str | None, str | None]:
     return None, None
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """(path, text, title) of files(path, content), as Spark's binaryFile source reads them."""
+#: Elements that begin a page where an application has noted its layout
+_BREAKS = {"docx": ("word/document.xml", "lastRenderedPageBreak"), "odt": ("content.xml", "soft-page-break"), "ods": ("content.xml", "soft-page-break"), "odp": ("content.xml", "soft-page-break")}
+
+
+def pages(data: bytes | None, ext: str) -> list[str]:
+    """Texts of the pages or slides of a document; none where its layout isn't known."""
+    try:
+        if ext not in ("pptx", *_BREAKS) or not data:
+            return []
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if ext == "pptx":
+                slides = sorted((int(m[1]), n) for n in z.namelist()[:MAX_ENTRIES] if (m := re.fullmatch(OFFICE[ext], n)))
+                return [_xml_text(_member(z, n, INFLATE_CAP)) for _, n in slides[:512]]
+            part, mark = _BREAKS[ext]
+            out, broken = [""], False
+            for _, e in ElementTree.iterparse(io.BytesIO(_member(z, part, INFLATE_CAP)), ("start",)):
+                name = e.tag.rsplit("}", 1)[-1]
+                if name == mark or (name == "br" and any(k.endswith("}type") and v == "page" for k, v in e.attrib.items())):
+                    out.append("")
+                    broken = True
+                out[-1] += (e.text or "") + (" " if name in _LINES else "")
+            return out if broken else []
+    except Exception:  # as in describe()
+        return []
+
+
+def pages_with(texts, terms: list[str]):
+    """Numbers of the pages, from 1, whose folded texts hold all folded terms: texts is a column of an array of texts."""
+    from ..functions import text as t
+
+    folded = [t.fold(F.lit(x)) for x in terms if x.strip()]
+    if not folded:
+        return F.array().cast("array<int>")
+    hit = lambda p: F.forall(F.array(*folded), lambda w: F.contains(t.fold(p), w))
+    numbered = F.transform(texts, lambda p, k: F.when(hit(p), k + 1))
+    return F.filter(numbered, lambda k: k.isNotNull())
+
+
+def prominent(lines: list[tuple[str, float]], join: bool = True) -> list[str]:
+    """Lines set larger than the body, the largest first, at most eight: (text, size) in reading order.
+
+    The body is the size, within three in a hundred, that most characters are set in. Lines of one size that follow
+    each other are one. Where three or more share the largest size they are headings of sections, and none is taken.
+    """
+    same = lambda a, b: abs(a - b) <= 0.03 * max(a, b)
+    rows = [(" ".join(t.split()), s) for t, s in lines if t.split() and 0 < s < float("inf")]
+    weight: list[list[float]] = []
+    for t, s in rows:
+        held = next((w for w in weight if same(w[0], s)), None)
+        if held is None:
+            weight.append([s, len(t)])
+        else:
+            held[1] += len(t)
+    if not weight:
+        return []
+    body = max(reversed(weight), key=lambda w: w[1])[0]
+    runs: list[tuple[str, float]] = []
+    for t, s in rows:
+        if join and runs and same(runs[-1][1], s):
+            runs[-1] = (f"{runs[-1][0]} {t}" if len(runs[-1][0]) < 400 else runs[-1][0], runs[-1][1])
+        else:
+            runs.append((t, s))
+    large = sorted((r for r in runs if r[1] >= 1.15 * body), key=lambda r: -r[1])
+    if large and sum(same(large[0][1], s) for _, s in large) >= 3:
+        return []
+    return [t for t, _ in large[:8]]
+
+
+def media(data: bytes | None) -> dict[str, object]:
+    """Kind of a file of sound or pictures, width and height of PNG, GIF, JPEG and BMP, seconds of WAV; else nothing."""
+    import struct
+
+    data = data or b""
+    if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
+        return {"kind": "image", "width": int.from_bytes(data[16:20], "big"), "height": int.from_bytes(data[20:24], "big")}
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return {"kind": "image", "width": int.from_bytes(data[6:8], "little"), "height": int.from_bytes(data[8:10], "little")}
+    if data[:2] == b"BM" and len(data) >= 26:
+        return {"kind": "image", "width": int.from_bytes(data[18:22], "little"), "height": abs(struct.unpack("<i", data[22:26])[0])}
+    if data[:3] == b"\xff\xd8\xff":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                return {"kind": "image", "height": int.from_bytes(data[at + 5 : at + 7], "big"), "width": int.from_bytes(data[at + 7 : at + 9], "big")}
+            at += 2 + size
+        return {"kind": "image"}
+    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
+        at, rate, size = 12, 0, 0
+        while at + 8 <= len(data):
+            name, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            if name == b"fmt ":
+                rate = int.from_bytes(data[at + 16 : at + 20], "little")
+            if name == b"data":
+                size = n
+            at += 8 + n + n % 2
+        return {"kind": "audio", "seconds": size / rate} if rate else {"kind": "audio"}
+    return {}
+
+
+def walk(spark: SparkSession, roots: list[str], hidden: bool = False) -> DataFrame:
+    """(path, mtime, size, content) of the files below roots, read as they are asked for; hidden ones are left out.
+
+    A folder that is a root itself may lie below a hidden one; only what is below the root counts.
+    """
+    out = None
+    for root in roots:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        plain = F.regexp_replace("path", r"^file:/+", "/")
+        below = F.substring(plain, len(root.rstrip("/")) + 1, 1 << 20)
+        rows = rows.select(plain.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content", below.alias("below"))
+        rows = (rows if hidden else rows.where(~paths.is_hidden(F.col("below")))).drop("below")
+        out = rows if out is None else out.unionByName(rows)
+    return out.dropDuplicates(["path"])
+
+
+def extract(files: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
+    """(path, text, title) of files(path, content), as Spark's binaryFile source reads them. cap: characters of a text.
+
+    A file without an extension is read as text if its first bytes are text.
+    """
+    sniffed = files.select("path", "content", mime.sniff(F.col("content")).alias("said"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             rows = []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for path, data, said in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 name = path.rsplit("/", 1)[-1]
                 ext = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
-                rows.append((path, *describe(data.as_py(), ext)))
+                if not ext and (said or "").startswith("text/"):
+                    ext = "html" if said == "text/html" else "txt"
+                text, title = describe(data.as_py(), ext)
+                rows.append((path, None if text is None else text[:cap], title))
             yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["path", "text", "title"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string, title string")
+    return sniffed.mapInArrow(run, "path string, text string, title string")

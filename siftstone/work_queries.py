@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import paths
+from .functions import paths, text
 from .operators import catalogue, history, index, mime, origin, search
 from .plans.request import Filter, Page, read_plan
 from .registry import query
+from .sources import formats
 from .sources import tables as src
 from .streaming import reconcile
 
@@ -472,3 +473,61 @@ def judged_changes(spark, d):
     sets, roots = reconcile.judged(src.seen(f).select("path", "mtime", "size"), src.known(f), f.where("doc_id % 8 = 0"))
     none = F.lit(None).cast("bigint")
     return sets.withColumn("what", F.lit("set")).unionByName(roots.select(F.col("root").alias("path"), none.alias("mtime"), none.alias("size"), F.lit("gone").alias("what")))
+
+
+# pages, lines, identities
+
+
+@query("""with p as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ps from documents)
+select doc_id, list_filter(range(1, len(ps) + 1), lambda k: contains(lower(ps[k]), 'the') and contains(lower(ps[k]), 'on'))::varchar as pages from p""")
+def pages_with(spark, d):
+    """The lines of a text stand for its pages."""
+    p = src.read(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ps"))
+    found = formats.pages_with(F.col("ps"), ["The", " ", "ON"])
+    return p.select("doc_id", F.concat(F.lit("["), F.array_join(found.cast("array<string>"), ", "), F.lit("]")).alias("pages"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
+a as (select *, lag(line) over (partition by doc_id order by k) as above, lead(line) over (partition by doc_id order by k) as below from l)
+select doc_id, k::bigint as k, regexp_matches(coalesce(above, ''), '[a-z,]$') and regexp_matches(line, '^[a-z]') as goes_on, coalesce(below, '') = '' as last from a where line <> ''""")
+def adjacent_lines(spark, d):
+    """Lines with what stands above and below them: whether a line carries on a sentence, and whether it is the last of its paragraph."""
+    at = src.read(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("ls"))
+    get = lambda k: F.coalesce(F.get("ls", k), F.lit(""))
+    rows = F.transform("ls", lambda x, k: F.struct((k + 1).cast("bigint").alias("k"), (get(k - 1).rlike("[a-z,]$") & x.rlike("^[a-z]")).alias("goes_on"), (get(k + 1) == "").alias("last"), (x != "").alias("filled")))
+    return at.select("doc_id", F.inline(rows)).where("filled").drop("filled")
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+s as (select doc_id, length(line) % 7 as size, sum(length(line)) as chars from l where line <> '' group by all)
+select doc_id, arg_max(size, (chars, -size)) as body from s group by doc_id""")
+def weighted_mode(spark, d):
+    """The size that most characters of a text are set in; a line's length modulo 7 stands for its size."""
+    line = src.read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    sizes = line.groupBy("doc_id", (F.char_length("line") % 7).cast("bigint").alias("size")).agg(F.sum(F.char_length("line")).alias("chars"))
+    return sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", (-F.col("size")).alias("low"))).alias("body"))
+
+
+@query("""with f as (select doc_id, doc_id % 50 as ino, case when doc_id % 4 = 0 then 2 else 1 end as links, doc_id % 6 as e, doc_id % 6 > 0 as shared from documents),
+i as (select doc_id, case when links > 1 then 'i' || ino when e > 0 and shared then 'e' || doc_id % 30 end as identity from f)
+select identity is not null as known, count(*) as n, count(distinct identity) as ids from i group by 1""")
+def physical_identity(spark, d):
+    n = F.col("doc_id")
+    extent = F.struct((n % 30).alias("start"), F.lit(4096).alias("length"), F.lit(True).alias("physical"), (n % 6 > 0).alias("shared"))
+    f = src.read(spark, d, "documents").select("doc_id", F.lit("/p").alias("path"), F.lit(1).alias("dev"), (n % 50).alias("ino"), F.lit(9).alias("size"), F.when(n % 4 == 0, 2).otherwise(1).alias("links"), F.when(n % 6 > 0, F.array(extent)).otherwise(F.array().cast("array<struct<start:bigint,length:int,physical:boolean,shared:boolean>>")).alias("extents"))
+    out = catalogue.shared_identity(f)
+    return out.groupBy(F.col("identity").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("identity").alias("ids"))
+
+
+@query(f"""with {src.FILES_SQL}, {src.STATE_SQL}, n as (select (select count(*) from seen) as docs, (select count(*) from files) as cached)
+select case when docs > cached + greatest(cached // 5, 10000) or (docs > 0 and cached = 0) then 'rebuild' when cached = docs then 'nothing' when cached - docs <= greatest(cached // 100, 1000) and cached > docs then 'repair' when cached > docs then 'rebuild' else 'nothing' end as action from n""")
+def recovery(spark, d):
+    f = files(spark, d)
+    return catalogue.recovery(catalogue.divergence(src.seen(f), f)).select("action")
+
+
+@query(r"select page_id, decode(url) as url from (select page_id, case when url is not null then url::blob end as url from pages)")
+def percent_decoded(spark, d):
+    """Addresses with every byte written as %hh, read again."""
+    p = src.read(spark, d, "pages").select("page_id", F.regexp_replace(F.hex(F.encode("url", "UTF-8")), "(..)", "%$1").alias("u"))
+    return p.select("page_id", text.percent_decoded(F.col("u")).alias("url"))

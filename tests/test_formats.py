@@ -47,3 +47,41 @@ def test_extract(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in formats.extract(files).collect()}
     assert got == {"a.txt": "hello", "b.zzz": None}
+
+
+def test_sheets_and_pages():
+    n = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'<worksheet {n}><sheetData><row><c t="s"><v>1</v></c><c><v>42.5</v></c></row><row><c t="inlineStr"><is><t>in</t></is></c><c t="str"><v>made</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>'
+    xlsx = archive(**{"xl/sharedStrings.xml": f"<sst {n}><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si></sst>", "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet10.xml": sheet.replace("42.5", "10"), "xl/worksheets/sheet2.xml": sheet.replace("42.5", "2")})
+    assert formats.describe(xlsx, "xlsx")[0].split() == ["bc", "42.5", "in", "made", "bc", "2", "in", "made", "bc", "10", "in", "made"]
+    w = 'xmlns:w="w"'
+    body = f"<w:document {w}><w:p><w:t>one</w:t><w:lastRenderedPageBreak/><w:t>two</w:t></w:p></w:document>"
+    assert [p.strip() for p in formats.pages(archive(**{"word/document.xml": body}), "docx")] == ["one", "two"]
+    assert formats.pages(archive(**{"word/document.xml": body.replace("<w:lastRenderedPageBreak/>", "")}), "docx") == []
+    assert formats.percent_decoded("a%20b%C3%A9+%zz") == "a bé+%zz"
+
+
+def test_prominent_lines():
+    body = [("body text that goes on for long " * 5, 10.0)]
+    assert formats.prominent([("A title", 20.0), ("of two lines", 20.1), *body, ("Part", 14.0)]) == ["A title of two lines", "Part"]
+    assert formats.prominent([("One", 20.0), *body, ("Two", 20.0), *body, ("Three", 20.0)]) == []
+    assert formats.prominent([]) == [] and formats.prominent(body) == []
+
+
+def test_media():
+    assert formats.media(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\1\0\0\0\0\x10") == {"kind": "image", "width": 256, "height": 16}
+    assert formats.media(b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\x11\x08\0\x20\0\x40") == {"kind": "image", "width": 64, "height": 32}
+    wav = b"RIFF....WAVEfmt \x10\0\0\0\1\0\1\0" + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + b"\2\0\x10\0data" + (32000).to_bytes(4, "little")
+    assert formats.media(wav) == {"kind": "audio", "seconds": 2.0}
+    assert formats.media(b"text") == {} == formats.media(None)
+
+
+def test_walk(spark, tmp_path):
+    (tmp_path / "a/.hidden").mkdir(parents=True)
+    (tmp_path / "a/.hidden/x.txt").write_text("x")
+    (tmp_path / "a/README").write_text("plain words")
+    (tmp_path / "a/bin").write_bytes(b"\0\1\2")
+    got = formats.walk(spark, [str(tmp_path / "a"), str(tmp_path)])
+    assert sorted(r["path"].rsplit("/", 1)[-1] for r in got.select("path").collect()) == ["README", "bin"]
+    texts = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in formats.extract(got, cap=5).collect()}
+    assert texts == {"README": "plain", "bin": None}
