@@ -17,9 +17,25 @@ from ..sources.shared import remove, scratch, shared_dir
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Paths that stage() has written in this process, in order
+_staged: list[str] = []
+
+
+def staged() -> int:
+    """How many tables have been staged; for drop_since()."""
+    return len(_staged)
+
+
+def drop_since(spark: SparkSession, n: int) -> None:
+    """Delete all tables that were staged after the first n, once what was made from them is written elsewhere."""
+    while len(_staged) > n:
+        remove(spark, _staged.pop())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends in replicated files."""
     path = scratch(df.sparkSession, name)
+    _staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,8 @@ STATE = {
 KEYS = "doc_id bigint, digest string, n_points bigint, locator struct<file:string,row:bigint>"
 #: Groups of more rows than this may be joined apart from the others, and that many of them at most: the largest
 LARGE_GROUP, LARGE_GROUPS = 1000, 50_000
+#: Shares that a large group's rows are dealt to where their texts are compared
+SHARES = 32
 
 
 def normalised(text: Column) -> Column:
@@ -123,11 +125,14 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     remove(spark, folder)
 
     known = _with_group(keys, groups)
-    hits = known.where("n > 1").select(F.col("locator").alias("__at"), "digest", (F.col("locator") == F.col("best")).alias("stays"))
-    held = stage(docs.join(hits, "__at").select("digest", "stays", normalised(F.col("text")).alias("norm")), "hits")
-    # written down, so that both sides of the join are plain shuffles, which Spark can split at a hot digest
-    reps = stage(held.where("stays").select("digest", F.col("norm").alias("rep")), "reps")
-    clash = checkpoint(held.join(reps, "digest").where(F.col("norm") != F.col("rep")).select("digest").distinct())
+    # the rows of a large group are dealt to shares, each of which has the text of the row that stays
+    share = F.when(F.col("n") > LARGE_GROUP, F.pmod(F.xxhash64("locator"), F.lit(SHARES))).otherwise(0).cast("int")
+    hits = known.where("n > 1").select(F.col("locator").alias("__at"), "digest", (F.col("locator") == F.col("best")).alias("stays"), share.alias("share"), (F.col("n") > LARGE_GROUP).alias("large"))
+    held = stage(docs.join(hits, "__at").select("digest", "stays", "share", "large", normalised(F.col("text")).alias("norm")), "hits")
+    shares = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    reps = stage(held.where("stays").select("digest", F.explode(shares).alias("share"), F.col("norm").alias("rep")), "reps")
+    differ = held.join(reps, ["digest", "share"]).where(F.col("norm") != F.col("rep"))
+    clash = checkpoint(differ.select("digest").distinct())
     drop_staged(held)
     drop_staged(reps)
 

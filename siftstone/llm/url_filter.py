@@ -21,6 +21,8 @@ from .common import drop_staged, stage
 
 #: A filter over this many bytes isn't put into a plan; the keys are joined instead.
 MAX_FILTER_BYTES = 8 << 20
+#: Levels of a cascade; each has a fraction of the mistakes of the one before, so more would be no accident
+MAX_LEVELS = 64
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int, limit
     """Over column key of both. listed: distinct keys; universe: all keys, repeats allowed.
 
     Only keys that level 0 passes are shuffled, and they are counted once for each task before that.
-    None: the first level would outgrow the limit, and the caller has to join.
+    None: a level would outgrow the limit, or mistakes are left after MAX_LEVELS; the caller has to join then.
     """
     n = listed.count()
     if not n:
@@ -103,7 +105,9 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int, limit
     held = stage(flagged, "cascade")
     levels = [first]
     sets = {0: held.where("on = 1").select("key"), 1: held.where("on = 0").select("key")}
-    while (n_next := sets[len(levels) % 2].count()) and len(levels) < 64:
+    while n_next := sets[len(levels) % 2].count():
+        if len(levels) == MAX_LEVELS:
+            return None
         wrong = len(levels) % 2
         level = bloom(sets[wrong], n_next, 0.25, 11 + 2 * len(levels), limit)
         if level is None:

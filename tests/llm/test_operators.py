@@ -59,8 +59,9 @@ def test_exact_dedup(spark, digest):
 def test_exact_dedup_with_large_groups(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LARGE_GROUP", 2)
     rows = make(9, 40, 3) + [(k, "a copy", "en", "a") for k in range(100, 130)]
-    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
-    assert sorted((tuple(x)[:5] for x in got), key=str) == slow_exact(rows)
+    for digest in (exact_dedup.sha256, lambda norm: (F.crc32(norm) % 3).cast("string")):
+        got = exact_dedup.exact_dedup(docs(spark, rows), digest).collect()
+        assert sorted((tuple(x)[:5] for x in got), key=str) == slow_exact(rows)
 
 
 def test_exact_dedup_goes_on(spark, tmp_path):
@@ -415,6 +416,16 @@ def test_url_filter(spark, limit):
     assert {x["verdict"] for x in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
+def test_a_cascade_that_doesn_t_end_is_none(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 1)
+    listed = spark.createDataFrame([(f"k{k}",) for k in range(200)], "key string")
+    universe = spark.createDataFrame([(f"k{k}",) for k in range(40_000)], "key string")
+    assert url_filter.build_cascade(listed, universe, 40_000) is None
+    monkeypatch.undo()
+    got = url_filter.build_cascade(listed, universe, 40_000)
+    assert universe.where(got.contains(F.col("key"))).count() == 200
+
+
 # HTML
 
 
