@@ -8,14 +8,16 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .docinfo import months
+from .docinfo.analyze import Analyst
 from .operators import index
 from .plans import settings, wire
-from .sources import tables
+from .sources import formats, tables
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="siftstone", description="Search files by name and content.")
-    p.add_argument("--tables", required=True, help="folder with documents.parquet")
+    p.add_argument("--tables", default=".", help="folder with documents.parquet")
     p.add_argument("--config", help="settings file")
     sub = p.add_subparsers(dest="verb", required=True)
     for verb in ("name", "content", "both", "list", "largest"):
@@ -30,6 +32,9 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         q.add_argument("--kind", choices=["file", "folder"])
     for verb in ("count", "status", "capabilities", "serve"):
         sub.add_parser(verb)
+    i = sub.add_parser("info", help="what a file's text says: kind, date, owner, title, sentences, a name")
+    i.add_argument("file")
+    i.add_argument("--name", action="store_true", help="only the suggested name")
     c = sub.add_parser("config")
     c.add_argument("action", choices=["show", "preset"])
     c.add_argument("preset", nargs="?")
@@ -55,6 +60,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         print(settings.write(said), end="", file=out)
         return 0
     spark = spark or SparkSession.builder.getOrCreate()
+    if a.verb == "info":
+        with open(a.file, "rb") as f:
+            ext = a.file.rsplit(".", 1)[-1].lower() if "." in a.file.rsplit("/", 1)[-1][1:] else ""
+            text, declared = formats.describe(f.read(), ext)
+        got = Analyst(months.by_name(spark)).analyze(text, ext, declared)
+        print(got["suggested_name"] if a.name else json.dumps(got, ensure_ascii=False), file=out)
+        return 0
     files = tables.files(spark, a.tables, True)
     service = wire.Service(index.of(files, tables.read(spark, a.tables, "documents")), said)
     if a.verb == "serve":

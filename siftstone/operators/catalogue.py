@@ -76,6 +76,12 @@ def scan_changes(seen: DataFrame, known: DataFrame) -> DataFrame:
     return s.join(k, "path", "full_outer").select("path", change.alias("change"))
 
 
+def subtree_changes(seen: DataFrame, known: DataFrame, root: str) -> DataFrame:
+    """scan_changes() of one folder and all below it; what lies elsewhere is neither read nor gone."""
+    inside = (F.col("path") == root) | paths.under(F.col("path"), root)
+    return scan_changes(seen.where(inside), known.where(inside))
+
+
 def unseen(known: DataFrame, seen: DataFrame) -> DataFrame:
     """Catalogue rows that the scan did not meet."""
     return known.join(seen.select("path"), "path", "left_anti")

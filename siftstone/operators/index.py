@@ -128,3 +128,15 @@ def worth_compacting(segments: DataFrame) -> DataFrame:
     n = segments.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.max("docs"), F.lit(0)).alias("largest"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted"))
     n = n.select(F.greatest(F.col("docs") - F.col("largest"), "deleted").alias("changed"), "docs")
     return n.withColumn("worth", (F.col("changed") > 0) & (F.col("changed") * 10 >= F.col("docs")))
+
+
+def compaction(segments: DataFrame) -> DataFrame:
+    """(action) for segments(docs, deleted): all are merged if that is worth it, else the small ones if there are three or more."""
+    n = worth_compacting(segments).crossJoin(segments.agg(F.count(F.lit(1)).alias("segments")))  # two single rows
+    return n.select(F.when(F.col("worth"), "merge all").when(F.col("segments") >= 3, "join small").otherwise("nothing").alias("action"))
+
+
+def compact(index: Index, path: str) -> Index:
+    """Write the index anew to path, its keys dealt and sorted as in a build, without rows of paths that it doesn't list."""
+    none = index.files.limit(0)
+    return upsert(index, none.withColumn("text", F.lit(None).cast("string")), none.select("path"), path, True)

@@ -531,3 +531,17 @@ def percent_decoded(spark, d):
     """Addresses with every byte written as %hh, read again."""
     p = src.read(spark, d, "pages").select("page_id", F.regexp_replace(F.hex(F.encode("url", "UTF-8")), "(..)", "%$1").alias("u"))
     return p.select("page_id", text.percent_decoded(F.col("u")).alias("url"))
+
+
+@query(f"""with {src.FILES_SQL}, {src.STATE_SQL}, s as (select * from seen where path like '/home/src2/%'), k as (select * from known where path like '/home/src2/%')
+select coalesce(s.path, k.path) as path, case when k.path is null then 'new' when s.path is null then 'gone' when s.mtime <> k.mtime or s.size <> k.size then 'changed' else 'unchanged' end as change from s full join k on s.path = k.path""")
+def subtree_changes(spark, d):
+    f = files(spark, d)
+    return catalogue.subtree_changes(src.seen(f), src.known(f), "/home/src2")
+
+
+@query("""with s as (select event_type, count(*) as docs, count(*) // 50 as deleted from events group by event_type), n as (select sum(docs) as docs, max(docs) as largest, sum(deleted) as deleted, count(*) as k from s)
+select case when greatest(docs - largest, deleted) > 0 and greatest(docs - largest, deleted) * 10 >= docs then 'merge all' when k >= 3 then 'join small' else 'nothing' end as action from n""")
+def compaction(spark, d):
+    s = src.read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("docs"), F.floor(F.count(F.lit(1)) / 50).alias("deleted"))
+    return index.compaction(s)

@@ -127,6 +127,9 @@ def test_index_and_requests(spark, tmp_path):
         assert sorted(map(str, getattr(up, t).select(getattr(anew, t).columns).collect())) == sorted(map(str, getattr(anew, t).collect())), t
     assert [r["path"] for r in index.unreferenced(i, new).collect()] == ["/x/boating.md"]
     assert index.unreferenced(i, new.limit(0)).collect() == []
+    packed = index.compact(up, str(tmp_path / "l"))
+    for t in index.TABLES:
+        assert sorted(map(str, getattr(packed, t).select(getattr(anew, t).columns).collect())) == sorted(map(str, getattr(anew, t).collect())), t
     assert [r["path"] for r in index.missing(up, f).collect()] == ["/x/boating.md"]
     plan = i.postings.where(F.col("term").isin("boat", "the"))._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term, [boat,the])]" in plan

@@ -150,6 +150,9 @@ def test_command_line(spark, tmp_path):
     assert run("count").strip() == "2" and "list-largest" in run("capabilities")
     assert json.loads(run("serve", lines=['{"cmd": "query", "q": "delta"}']))["total"] == 1
     assert "names_only = true" in run("config", "preset", "names-only")
+    (tmp_path / "x.md").write_text("Plans of the town\nOslo Council\nissued on 3 May 2031")
+    assert run("info", str(tmp_path / "x.md"), "--name").strip().endswith("Plans of the town.md")
+    assert json.loads(run("info", str(tmp_path / "x.md")))["date"] == "2031-05-03"
 
 
 def test_identity_of_moved_origins(spark):
