@@ -364,6 +364,57 @@ def prominent(lines: list[tuple[str, float]], join: bool = True) -> list[str]:
     return [t for t, _ in large[:8]]
 
 
+#: Styles of paragraphs that are set as titles, by name in lower case without spaces
+_TITLES = frozenset(["title", "heading1", "titulo", "titre", "titel"])
+
+
+def title_lines(data: bytes | None, ext: str) -> list[str]:
+    """Lines that an office document sets as titles: by the style of a paragraph, or the title's place on the first slide."""
+    try:
+        if not data or ext not in OFFICE or ext in ("xlsx", "ods"):
+            return []
+        local = lambda x: x.rsplit("}", 1)[-1]
+        said = lambda e: " ".join("".join(t for t in e.itertext()).split())
+        attr = lambda e, name: next((v for k, v in e.attrib.items() if local(k) == name), "")
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            part = {"docx": "word/document.xml", "pptx": "ppt/slides/slide1.xml"}.get(ext, "content.xml")
+            root = ElementTree.fromstring(_member(z, part, INFLATE_CAP))
+        out = []
+        for e in root.iter():
+            name = local(e.tag)
+            if ext == "docx" and name == "p":
+                style = next((attr(x, "val") for x in e.iter() if local(x.tag) == "pStyle"), "")
+                good = style.lower().replace(" ", "") in _TITLES
+            elif ext == "pptx" and name == "sp":
+                good = any(local(x.tag) == "ph" and attr(x, "type") in ("title", "ctrTitle") for x in e.iter())
+            elif ext == "odp":
+                good = name == "frame" and attr(e, "class") == "title"
+            else:
+                good = (name == "h" and attr(e, "outline-level") == "1") or (name == "p" and attr(e, "style-name").lower().replace("_20_", "") in _TITLES)
+            if good and (line := said(e)):
+                out.append(line)
+            if len(out) == 8 or (out and ext in ("pptx", "odp")):
+                break
+        return out
+    except Exception:  # as in describe()
+        return []
+
+
+MEDIA = "path string, kind string, width bigint, height bigint, seconds double"
+
+
+def media_of(files: DataFrame) -> DataFrame:
+    """(path, kind, width, height, seconds) of files(path, content); null for what the first bytes don't say."""
+    schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("seconds", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            rows = [{"path": p, **media(c.as_py())} for p, c in zip(batch.column(0).to_pylist(), batch.column(1))]
+            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+
+    return files.select("path", "content").mapInArrow(run, MEDIA)
+
+
 def media(data: bytes | None) -> dict[str, object]:
     """Kind of a file of sound or pictures, width and height of PNG, GIF, JPEG and BMP, seconds of WAV; else nothing."""
     import struct
@@ -413,8 +464,9 @@ def walk(spark: SparkSession, roots: list[str], hidden: bool = False) -> DataFra
 
 
 def extract(files: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
-    """(path, text, title) of files(path, content), as Spark's binaryFile source reads them. cap: characters of a text.
+    """(path, text, title, prominent) of files(path, content), as Spark's binaryFile source reads them. cap: characters of a text.
 
+    title: what the file declares; prominent: lines that it sets as titles.
     A file without an extension is read as text if its first bytes are text.
     """
     sniffed = files.select("path", "content", mime.sniff(F.col("content")).alias("said"))
@@ -428,7 +480,8 @@ def extract(files: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
                 if not ext and (said or "").startswith("text/"):
                     ext = "html" if said == "text/html" else "txt"
                 text, title = describe(data.as_py(), ext)
-                rows.append((path, None if text is None else text[:cap], title))
-            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["path", "text", "title"])
+                rows.append({"path": path, "text": None if text is None else text[:cap], "title": title, "prominent": title_lines(data.as_py(), ext)})
+            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    return sniffed.mapInArrow(run, "path string, text string, title string")
+    schema = pa.schema([("path", pa.string()), ("text", pa.string()), ("title", pa.string()), ("prominent", pa.list_(pa.string()))])
+    return sniffed.mapInArrow(run, "path string, text string, title string, prominent array<string>")

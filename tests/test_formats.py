@@ -85,3 +85,16 @@ def test_walk(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[-1] for r in got.select("path").collect()) == ["README", "bin"]
     texts = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in formats.extract(got, cap=5).collect()}
     assert texts == {"README": "plain", "bin": None}
+
+
+def test_lines_set_as_titles(spark):
+    w = 'xmlns:w="w"'
+    docx = archive(**{"word/document.xml": f'<w:document {w}><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>A large</w:t></w:r><w:r><w:t> title</w:t></w:r></w:p><w:p><w:t>text</w:t></w:p></w:document>'})
+    assert formats.title_lines(docx, "docx") == ["A large title"]
+    slide = '<p:sld xmlns:p="p" xmlns:a="a"><p:sp><p:nvPr><p:ph type="body"/></p:nvPr><a:t>no</a:t></p:sp><p:sp><p:nvPr><p:ph type="ctrTitle"/></p:nvPr><a:t>Slide title</a:t></p:sp></p:sld>'
+    assert formats.title_lines(archive(**{"ppt/slides/slide1.xml": slide}), "pptx") == ["Slide title"]
+    odt = archive(**{"content.xml": '<o xmlns:t="t"><t:h t:outline-level="1">Head</t:h><t:p t:style-name="Title">Top</t:p><t:p>x</t:p></o>'})
+    assert formats.title_lines(odt, "odt") == ["Head", "Top"] and formats.title_lines(b"no", "odt") == [] == formats.title_lines(None, "docx")
+    df = spark.createDataFrame([("/a.docx", bytearray(docx)), ("/b.gif", bytearray(b"GIF89a\x04\0\x05\0"))], "path string, content binary")
+    assert {r["path"]: r["prominent"] for r in formats.extract(df).collect()} == {"/a.docx": ["A large title"], "/b.gif": []}
+    assert {r["path"]: (r["kind"], r["width"], r["height"]) for r in formats.media_of(df).collect()} == {"/a.docx": (None, None, None), "/b.gif": ("image", 4, 5)}
