@@ -101,6 +101,11 @@ def budget_bytes(gib: int, disk: int) -> int:
     return gib << 30 if gib > 0 else min(disk // 20, 10 << 30)
 
 
+def budget(gib: Column, disk: Column) -> Column:
+    """Bytes that versions may take on disks of a size: what is set, else a twentieth of the disk and 10 GiB at most."""
+    return F.when(gib > 0, gib.cast("bigint") * (1 << 30)).otherwise(F.least(F.floor(disk / 20), F.lit(10 << 30))).cast("bigint")
+
+
 # fixed values: extensions of documents, and marks of names that are none
 DOCUMENTS = ("odt", "ods", "odp", "odg", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "rtf", "md", "txt")
 

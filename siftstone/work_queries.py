@@ -8,7 +8,7 @@ from .functions import paths, text
 from .operators import catalogue, history, index, mime, origin, search
 from .plans.request import Filter, Page, read_plan
 from .registry import query
-from .sources import formats
+from .sources import formats, shared
 from .sources import tables as src
 from .streaming import reconcile
 
@@ -545,3 +545,43 @@ select case when greatest(docs - largest, deleted) > 0 and greatest(docs - large
 def compaction(spark, d):
     s = src.read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("docs"), F.floor(F.count(F.lit(1)) / 50).alias("deleted"))
     return index.compaction(s)
+
+
+# streams that keep a state
+
+
+@query("""with e as (select event_id, '/f/' || user_id % 997 as path, case event_type when 'click' then 'create' when 'view' then 'modify' when 'signup' then 'remove' else 'close' end as kind, user_id as size from events),
+last as (select *, row_number() over (partition by path order by event_id desc) as rn from e)
+select path, event_id as mtime, size from last where rn = 1 and kind <> 'remove'""")
+def stream_reconcile(spark, d):
+    """The state that a stream of events leaves, which is stopped half way and started again."""
+    e = src.read(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "modify").when(F.col("event_type") == "signup", "remove").otherwise("close")
+    rows = e.select("event_id", F.timestamp_micros(F.col("event_id") * 1000).alias("ts"), kind.alias("kind"), F.concat(F.lit("/f/"), pick("user_id", 997).cast("string")).alias("path"), F.lit(None).cast("string").alias("path_to"), F.col("event_id").alias("mtime"), F.col("user_id").alias("size"))
+    half = e.agg(F.expr("percentile_disc(0.5) within group (order by event_id)").alias("m")).first()["m"]
+    folder = shared.scratch(spark, "stream")
+    target = None
+    for part in (rows.where(F.col("event_id") <= half), rows.where(F.col("event_id") > half)):
+        part.drop("event_id").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.drop("event_id").schema).parquet(f"{folder}/in")
+        target = reconcile.run(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return target.state(spark)
+
+
+@query(f"""with {src.FILES_SQL}, {src.STATE_SQL}, whole as (select path, mtime, size from seen union all select path, mtime, size from known where path like '/home/src9/%' and path not in (select path from seen)),
+c as (select coalesce(s.path, k.path) as path, case when k.path is null then 'new' when s.path is null then 'gone' when s.mtime <> k.mtime or s.size <> k.size then 'changed' else 'unchanged' end as change from whole s full join known k on s.path = k.path)
+select path, change from c where change <> 'unchanged'""")
+def stream_rescan(spark, d):
+    """What the whole tree differs in from the state after events were lost; one source is away and stays as it is."""
+    f = files(spark, d)
+    target = reconcile.Reconciler(shared.scratch(spark, "rescan"))
+    nothing = spark.createDataFrame([], "prefix string")
+    target.rescan(src.known(f), nothing)
+    return target.rescan(src.seen(f), spark.createDataFrame([("/home/src9",)], "prefix string"))
+
+
+@query("select doc_id, case when doc_id % 4 > 0 then (doc_id % 4) * 1073741824 else least((doc_id * 1073741824) // 20, 10737418240) end::bigint as bytes from documents")
+def history_budget(spark, d):
+    """A size that is set, or a twentieth of the disk and 10 GiB at most."""
+    n = F.col("doc_id")
+    return src.read(spark, d, "documents").select("doc_id", history.budget(n % 4, n * (1 << 30)).alias("bytes"))
