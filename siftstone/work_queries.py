@@ -585,3 +585,60 @@ def history_budget(spark, d):
     """A size that is set, or a twentieth of the disk and 10 GiB at most."""
     n = F.col("doc_id")
     return src.read(spark, d, "documents").select("doc_id", history.budget(n % 4, n * (1 << 30)).alias("bytes"))
+
+
+# texts and filters that no other query shows
+
+
+@query(r"""with t as (select doc_id, '# one ' || doc_id || chr(10) || '## two' || chr(10) || coalesce(text, '') || chr(10) || '#no' || chr(10) || '# three ' || chr(10) || '##  four' as text from documents)
+select doc_id, array_to_string(list_concat(regexp_extract_all(text, '(?m)^# +(.*)$', 1)[:3], regexp_extract_all(text, '(?m)^## +(.*)$', 1)[:3]), '|') as headings from t""")
+def markdown_headings(spark, d):
+    n = F.col("doc_id").cast("string")
+    t = F.concat(F.lit("# one "), n, F.lit("\n## two\n"), F.coalesce("text", F.lit("")), F.lit("\n#no\n# three \n##  four"))
+    return src.read(spark, d, "documents").select("doc_id", F.array_join(text.markdown_headings(t), "|").alias("headings"))
+
+
+@query(r"select doc_id, 'xdgtag' || regexp_replace(lower(left(text, 40)), '[^\p{L}\p{N}]+', '', 'g') as tag from documents where text is not null")
+def normalize_tag(spark, d):
+    return src.read(spark, d, "documents").where("text is not null").select("doc_id", text.normalize_tag(F.left("text", F.lit(40))).alias("tag"))
+
+
+@query("select doc_id, substr(text, 1, list_max(list_filter(range(0, 38), lambda k: strlen(substr(text, 1, k)) <= 37))) as cut from documents where text is not null")
+def truncate_bytes(spark, d):
+    return src.read(spark, d, "documents").where("text is not null").select("doc_id", text.truncate_bytes(F.col("text"), 37).alias("cut"))
+
+
+@query(f"with {src.FILES_SQL} select path from (select case when doc_id % 4 = 0 then replace(path, '/home/', '/home/.cache/') when doc_id % 4 = 1 then path || '.' when doc_id % 4 = 2 then replace(path, name, '.' || name) else path end as path from files) where regexp_matches(path, '(^|/)\\.')")
+def hidden_paths(spark, d):
+    n = F.col("doc_id")
+    f = files(spark, d)
+    p = F.when(n % 4 == 0, F.replace("path", F.lit("/home/"), F.lit("/home/.cache/"))).when(n % 4 == 1, F.concat("path", F.lit("."))).when(n % 4 == 2, F.concat(paths.parent(F.col("path")), F.lit("/."), "name")).otherwise(F.col("path"))
+    return f.select(p.alias("path")).where(paths.is_hidden(F.col("path")))
+
+
+@query(f"with {src.FILES_SQL} select doc_id, doc_id % 6 = 0 as folder from files where (doc_id % 6 = 0) = (doc_id % 2 = 0)")
+def kind_filter(spark, d):
+    """Folders of the even numbers and files of the odd ones."""
+    f = files(spark, d).withColumn("mime", F.when(pick("doc_id", 6) == 0, "inode/directory").otherwise(F.col("mime")))
+    folders = f.where(pick("doc_id", 2) == 0).where(catalogue.filters(kind="folder"))
+    rest = f.where(pick("doc_id", 2) == 1).where(catalogue.filters(kind="file"))
+    return folders.union(rest).select("doc_id", (pick("doc_id", 6) == 0).alias("folder"))
+
+
+@query(f"""with {src.FILES_SQL}, w as (select distinct unnest(string_split(stem, '_')) as w from files) select w, length(w) <= 2 as whole from w where w <> ''""")
+def whole_word_queries(spark, d):
+    """Words of one or two characters of a spaced script stand for themselves alone."""
+    w = files(spark, d).select(F.explode(F.split("stem", "_")).alias("w")).where("w <> ''").distinct()
+    unspaced = F.col("w").rlike(f"[{text.UNSPACED}]")
+    return w.select("w", ((F.char_length("w") <= 2) & ~unspaced).alias("whole"))
+
+
+@query("""with t as (select doc_id, ['relatorios', 'acoes', 'papeis', 'flores', 'churches', 'homens', 'sol', 'lapis'][doc_id % 8 + 1] as w from documents)
+select doc_id, w, ['relatorio', 'acao', 'papel papil', 'flor', 'church', 'homem', null, null][doc_id % 8 + 1] as forms from t where doc_id % 8 < 6""")
+def singular_forms(spark, d):
+    """The first forms of plural words that their endings allow."""
+    words = ("relatorios", "acoes", "papeis", "flores", "churches", "homens")
+    keep = {w: " ".join(search.inflections(w)[: 2 if w == "papeis" else 1]) for w in words}
+    pairs = F.create_map(*[F.lit(x) for k, v in keep.items() for x in (k, v)])
+    w = F.element_at(F.array(*(F.lit(x) for x in words)), (pick("doc_id", 8) + 1).cast("int"))
+    return src.read(spark, d, "documents").where(pick("doc_id", 8) < 6).select("doc_id", w.alias("w")).withColumn("forms", F.element_at(pairs, F.col("w")))
