@@ -1,6 +1,6 @@
 """The stored index: tables that are written once, sorted by what queries look up, and read by pushed filters.
 
-An index is a folder of Parquet tables. Grams and terms are dealt to ranges of their key and sorted in them, so a query's
+An index is a folder of Parquet tables. Grams and terms are dealt to ranges of their key and path and sorted in them, so a query's
 filter on a few keys is answered from the statistics of row groups: it reads the posting lists of its own keys only.
 A build goes to a folder of its own and is renamed when whole, so a crash leaves no half of an index.
 """
@@ -40,7 +40,8 @@ class Index:
 
 def _write(df: DataFrame, path: str, key: str) -> None:
     order = [key] if key == "path" else [key, "path"]
-    df.repartitionByRange(F.col(key)).sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(path)
+    # ranges are of key and path, so that a key of a third of all rows is cut into many
+    df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(path)
 
 
 def build(files: DataFrame, path: str, spaced: bool = False) -> Index:

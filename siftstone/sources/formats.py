@@ -1,7 +1,7 @@
-"""Texts of files: plain text, HTML, office containers, EPUB, mail, RTF. Bytes in, (text, title) out.
+"""Texts of files: plain text, HTML, office containers, PDF, EPUB, mail, RTF. Bytes in, (text, title) out.
 
 One Arrow batch at a time, a file never more than once; a file that cannot be read has a null text and the row stays,
-so that it isn't tried again. Formats that need an outside program (PDF, old Word) are null here.
+so that it isn't tried again. Old Word files, which need an outside program, are null here.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import catalogue, mime
+from . import pdf
 
 #: Bytes of a text that are kept, and of an archive's member that are inflated
 TEXT_CAP, INFLATE_CAP = 8 << 20, 64 << 20
@@ -277,6 +278,8 @@ def describe(data: bytes | None, ext: str) -> tuple[str | None, str | None]:
             return None, None
         if ext in OFFICE:
             return office_text(data, ext)
+        if ext == "pdf":
+            return pdf.read(data, TEXT_CAP)
         if ext == "epub":
             return epub_text(data)
         if ext == "eml":
@@ -303,6 +306,8 @@ _BREAKS = {"docx": ("word/document.xml", "lastRenderedPageBreak"), "odt": ("cont
 def pages(data: bytes | None, ext: str) -> list[str]:
     """Texts of the pages or slides of a document; none where its layout isn't known."""
     try:
+        if ext == "pdf" and data:
+            return list(pdf.page_texts(data))
         if ext not in ("pptx", *_BREAKS) or not data:
             return []
         with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -467,7 +472,7 @@ def extract(files: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
     """(path, text, title, prominent) of files(path, content), as Spark's binaryFile source reads them. cap: characters of a text.
 
     title: what the file declares; prominent: lines that it sets as titles.
-    A file without an extension is read as text if its first bytes are text.
+    A file without an extension is read as what its first bytes are, text or PDF.
     """
     sniffed = files.select("path", "content", mime.sniff(F.col("content")).alias("said"))
 
@@ -477,8 +482,8 @@ def extract(files: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
             for path, data, said in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 name = path.rsplit("/", 1)[-1]
                 ext = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
-                if not ext and (said or "").startswith("text/"):
-                    ext = "html" if said == "text/html" else "txt"
+                if not ext and ((said or "").startswith("text/") or said == "application/pdf"):
+                    ext = {"text/html": "html", "application/pdf": "pdf"}.get(said, "txt")
                 text, title = describe(data.as_py(), ext)
                 rows.append({"path": path, "text": None if text is None else text[:cap], "title": title, "prominent": title_lines(data.as_py(), ext)})
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()

@@ -98,3 +98,36 @@ def test_lines_set_as_titles(spark):
     df = spark.createDataFrame([("/a.docx", bytearray(docx)), ("/b.gif", bytearray(b"GIF89a\x04\0\x05\0"))], "path string, content binary")
     assert {r["path"]: r["prominent"] for r in formats.extract(df).collect()} == {"/a.docx": ["A large title"], "/b.gif": []}
     assert {r["path"]: (r["kind"], r["width"], r["height"]) for r in formats.media_of(df).collect()} == {"/a.docx": (None, None, None), "/b.gif": ("image", 4, 5)}
+
+
+def small_pdf(packed):
+    """Two pages: one in plain codes, one whose font has a table; the tree of pages plain or in an object stream."""
+    import zlib
+
+    tree = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 7 0 R >>", 4: b"<< /Type /Page /Parent 2 0 R /Contents [8 0 R] >>", 5: b"<< /Type /Font /Subtype /Type1 >>", 6: b"<< /Type /Font /ToUnicode 9 0 R >>"}
+    one = rb"BT /F1 12 Tf 72 700 Td (Caf\351 \(one\)) Tj 0 -14 Td [(t) -20 (wo) -300 (three)] TJ ET"
+    two = b"BT /F2 9 Tf <00010002> Tj T* <0003> Tj ET"
+    table = b"beginbfchar <0001> <0041> endbfchar beginbfrange <0002> <0003> <0062> endbfrange"
+    stream = lambda n, x, more=b"": b"%d 0 obj << /Length %d /Filter /FlateDecode %s >> stream\n%s\nendstream endobj\n" % (n, len(zlib.compress(x)), more, zlib.compress(x))
+    out = b"%PDF-1.5\n" + b"".join(stream(n, x) for n, x in ((7, one), (8, two), (9, table)))
+    if packed:
+        heads, body = b"", b""
+        for n, x in tree.items():
+            heads += b"%d %d " % (n, len(body))
+            body += x + b" "
+        out += stream(20, heads + body, b"/Type /ObjStm /N %d /First %d" % (len(tree), len(heads)))
+    else:
+        out += b"".join(b"%d 0 obj %s endobj\n" % x for x in tree.items())
+    return out + b"10 0 obj << /Title (A title) >> endobj\ntrailer << /Root 1 0 R /Info 10 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf(spark, packed):
+    data = small_pdf(packed)
+    assert formats.describe(data, "pdf") == ("Café (one)\ntwo three\n\nAb\nc", "A title")
+    assert formats.pages(data, "pdf") == ["Café (one)\ntwo three", "Ab\nc"]
+    assert formats.describe(data.replace(b"/Root 1", b"/Encrypt 5 0 R /Root 1"), "pdf")[0] is None
+    for cut in range(0, len(data), 37):
+        formats.describe(data[:cut], "pdf")  # a broken file never ends the job
+    df = spark.createDataFrame([("/a", bytearray(data))], "path string, content binary")
+    assert formats.extract(df).first()["text"].startswith("Café")
