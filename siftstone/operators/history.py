@@ -30,34 +30,43 @@ def newest(versions: DataFrame) -> DataFrame:
 
 
 def all_but(versions: DataFrame, n: int = 3) -> DataFrame:
-    return ranked(versions).where(F.col("rn") > n).drop("rn")
+    """Versions but the n newest of each file. Only those n are ranked, and cut within each task before the shuffle."""
+    top = ranked(versions.select("file_id", "id", "saved_at")).where(F.col("rn") <= n).select("file_id", "id")
+    return versions.join(top, ["file_id", "id"], "left_anti")
 
 
 def retention(versions: DataFrame, now: int, keep_versions: int = 10, keep_days: int = 90) -> DataFrame:
     """versions with kept.
 
     The newest stays; so do, unless older than keep_days, the oldest, states before a restore, and the first of each
-    time bucket while fewer than keep_versions are kept. Every kept row takes its bucket and a place, so this is a
-    fold, newest first. Rows that can never be kept are cut before it: of a bucket only its first row and the rows
-    kept whatever the bucket matter, so a file's array is bounded by its buckets and its undo states.
+    time bucket while fewer than keep_versions are kept. Every kept row takes its bucket and a place, newest first.
+    Buckets follow each other in time, and of one only its newest row can stay for the bucket's sake. So rows are
+    reduced to buckets by an aggregate, however many a file has, and a fold goes over a file's few buckets.
     """
-    rows = ranked(versions).withColumn("bucket", time_bucket(F.lit(now), F.col("saved_at")))
-    w = Window.partitionBy("file_id")
-    rows = rows.withColumn("last", F.max("rn").over(w))
-    free = (F.col("saved_at") >= now - keep_days * DAY) & ((F.col("rn") == F.col("last")) | (F.col("reason") == "before_restore"))
-    rows = rows.withColumns({"always": (F.col("rn") == 1) | free, "old": F.col("saved_at") < now - keep_days * DAY})
-    first = F.row_number().over(Window.partitionBy("file_id", "bucket").orderBy("rn"))
-    rows = rows.withColumn("in_bucket", first)
-    matter = F.col("always") | (~F.col("old") & (F.col("in_bucket") == 1))
-    listed = rows.where(matter).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rn", "id", "bucket", "always"))).alias("rows"))
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<bigint>").alias("buckets"))
+    old = F.col("saved_at") < now - keep_days * DAY
+    undo = F.coalesce(F.col("reason") == "before_restore", F.lit(False))
+    rows = versions.select("file_id", "id", "saved_at", time_bucket(F.lit(now), F.col("saved_at")).alias("bucket"), undo.alias("undo"), old.alias("old"))
+    buckets = rows.where(~F.col("old")).groupBy("file_id", "bucket").agg(F.max(F.struct("saved_at", "id", "undo")).alias("first"), F.count_if("undo").alias("undone"))
+    listed = buckets.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "first", "undone"))).alias("buckets"))
+    ends = rows.groupBy("file_id").agg(F.max(F.struct("saved_at", "id"))["id"].alias("newest"), F.min(F.struct("saved_at", "id"))["id"].alias("oldest"), F.max("old").alias("any_old"))
+    per_file = ends.join(listed, "file_id", "left")
+    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("places"))
 
     def step(acc: Column, x: Column) -> Column:
-        keep = x["always"] | ((F.size(acc["ids"]) < keep_versions) & ~F.array_contains(acc["buckets"], x["bucket"]))
-        return F.when(keep, F.struct(F.concat(acc["ids"], F.array(x["id"])).alias("ids"), F.concat(acc["buckets"], F.array(x["bucket"])).alias("buckets"))).otherwise(acc)
-
-    kept = listed.select("file_id", F.explode(F.aggregate("rows", start, step)["ids"]).alias("id")).withColumn("kept", F.lit(True))
-    return versions.join(kept, ["file_id", "id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        first = x["first"]
+        newest = first["id"] == F.col("newest")
+        # what stays in any case needs no bucket, but takes places before those that follow
+        anyway = first["undo"] | newest | ((first["id"] == F.col("oldest")) & ~F.col("any_old"))
+        stays = ~anyway & (acc["places"] < keep_versions)
+        taken = x["undone"] + (newest & ~first["undo"]).cast("bigint") + stays.cast("bigint")
+        ids = F.when(stays, F.concat(acc["ids"], F.array(first["id"]))).otherwise(acc["ids"])
+        return F.struct(ids.alias("ids"), (acc["places"] + taken).alias("places"))
+
+    chosen = F.aggregate(F.coalesce("buckets", F.array().cast(listed.schema["buckets"].dataType)), start, step)["ids"]
+    ids = F.concat(chosen, F.array("newest"), F.when(F.col("any_old"), F.array().cast("array<bigint>")).otherwise(F.array("oldest")))
+    kept = per_file.select("file_id", F.explode(F.array_distinct(ids)).alias("id")).withColumn("chosen", F.lit(True))
+    out = versions.join(kept, ["file_id", "id"], "left")
+    return out.withColumn("kept", F.coalesce("chosen", F.lit(False)) | (undo & ~old)).drop("chosen")
 
 
 def _sizes(versions: DataFrame) -> DataFrame:
@@ -81,7 +90,7 @@ def evict(versions: DataFrame, need: int, buckets: int = 64) -> DataFrame:
 
     The running sum is taken over days first: only the day in which the sum crosses is put in order in one place.
     """
-    old = ranked(versions).where("rn > 1").withColumn("day", F.floor(F.col("saved_at") / DAY))
+    old = versions.join(newest(versions).select("file_id", "id"), ["file_id", "id"], "left_anti").withColumn("day", F.floor(F.col("saved_at") / DAY))
     days = old.groupBy("day").agg(F.sum("size").alias("bytes"))
     # one row a day: a bounded series, whatever the number of versions
     before = days.withColumn("before", F.sum("bytes").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
