@@ -48,13 +48,13 @@ def build(files: DataFrame, path: str, spaced: bool = False) -> Index:
     """Write the index of files(path, name, stem, text, ...) to path, from nothing; one that is there already is kept.
 
     Names and texts are composed (NFKC) on the way. spaced: no text that this changes, and none of a script without
-    spaces, is to be expected. Of rows with one path the postings are one document's; files should hold each path once.
+    spaces, is to be expected. Of rows with one path one is a file of the index, and their postings are one document's.
     """
     spark = files.sparkSession
     if not shared.exists(spark, path):
         half = f"{path}.{shared.scratch(spark, 'build').rsplit('-', 1)[1]}"
         composed = files if spaced else files.withColumns({c: text.compose(F.col(c)) for c in ("name", "stem", "text")})
-        _write(composed.drop("text"), f"{half}/files", "path")
+        _write(composed.drop("text").dropDuplicates(["path"]), f"{half}/files", "path")
         _write(search.name_grams(spark.read.parquet(f"{half}/files")), f"{half}/grams", "gram")
         terms = search.postings(composed.select("path", "text"), spaced)
         # the terms of the corpus are extracted and shuffled once; all other tables come from what was written

@@ -76,7 +76,9 @@ def read_plan(mode: str, filter: Filter, page: Page) -> tuple[bool, int]:
 
 
 def matched(tables: Tables, request: Request) -> DataFrame:
-    """What a request matches, each path once, before order and page: path, score, match_kind and what orders them.
+    """What a request matches, before order and page: path, score, match_kind and what orders them.
+
+    Hits have each path once. Listings take files as they are, which an index holds once each.
 
     Filters apply before ranking, so a page is as full as the matches allow. An unknown mode searches names. Queries
     are cut at 256 characters and composed; content is asked for by the terms of a body.
@@ -84,13 +86,13 @@ def matched(tables: Tables, request: Request) -> DataFrame:
     q = unicodedata.normalize("NFKC", request.q[:256])
     spark = tables.files.sparkSession
     mode = request.mode if request.mode in MODES else "name"
-    files = tables.files.where(request.filter.column()).dropDuplicates(["path"])
+    files = tables.files.where(request.filter.column())
     if mode in ("list", "largest"):
         order = F.col("mtime" if mode == "list" else "size").cast("double")
         return files.select("path", F.lit(0.0).alias("score"), F.lit("name").alias("match_kind"), order.alias("o1"), F.lit(0.0).alias("o2"), F.lit(0.0).alias("o3"), F.lit(0).alias("tie"))
     names = content = None
     if mode in ("name", "both"):
-        names = search.search_names(files, search.query_words(spark, q), None, tables.grams, tables.name_stats)
+        names = search.search_names(files, search.query_words(spark, q), None, tables.grams, tables.name_stats).dropDuplicates(["path"])
     if mode in ("content", "both"):
         terms = search.query_terms(tables.vocab, search.content_words(spark, q))
         rows = search.search_content(tables.postings, tables.lengths, terms, limit=None, stats=tables.content_stats)
@@ -115,7 +117,8 @@ def answer(tables: Tables, request: Request) -> DataFrame:
     page = request.page
     ranked = matched(tables, request).orderBy(*order, "path").limit(min(page.offset + page.limit, search.CEILING) if request.mode not in ("list", "largest") else page.offset + page.limit)
     hits = ranked.orderBy(*order, "path").offset(page.offset).limit(page.limit)
-    rows = hits.join(tables.files.select("path", "name", "size", "mtime", "ext", "mime", "source").dropDuplicates(["path"]), "path")
+    # a page of hits is what is broadcast and made distinct, not the files
+    rows = tables.files.select("path", "name", "size", "mtime", "ext", "mime", "source").join(F.broadcast(hits) if page.limit <= search.CEILING else hits, "path").dropDuplicates(["path"])
     rows = with_available(rows, tables.sources)
     if request.include_origin and tables.origins is not None:
         rows = origin.attach(rows, tables.origins)
