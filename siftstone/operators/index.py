@@ -16,6 +16,8 @@ from ..functions import text
 from ..sources import shared
 from . import search
 
+#: Number of the layout and analysis of the tables; an index of another number isn't read
+FORMAT = 2
 TABLES = ("grams", "postings", "lengths", "vocab", "stats", "files")
 
 
@@ -83,8 +85,12 @@ def of(files: DataFrame, source: DataFrame, spaced: bool = False) -> Index:
 
     Indexes of a source's earlier files are left to prune().
     """
-    spark = files.sparkSession
-    return build(files, f"{shared.shared_dir(spark)}/index-{shared.version(source)}", spaced)
+    return build(files, path_of(source), spaced)
+
+
+def path_of(source: DataFrame) -> str:
+    """Where the index of files derived from source lies, built or not."""
+    return f"{shared.shared_dir(source.sparkSession)}/index-{FORMAT}-{shared.version(source)}"
 
 
 def upsert(index: Index, files: DataFrame, gone: DataFrame, path: str, spaced: bool = False) -> Index:
