@@ -11,7 +11,7 @@ The model predicts a symbol from the four before it: their vectors, each weighte
 vector, and its products with the symbols' vectors are the scores. Symbols are dealt into classes, and the class is
 predicted before the symbol within it, so that batched matrix products give exactly normalised probabilities. Both
 steps are trained in numpy by noise-contrastive estimation: each task trains on its own share of the training tokens
-and the changes are averaged, some rounds in succession, so what is trained on grows with the corpus.
+and the changes are averaged, some rounds in succession. Every training token is a target once, in one of the rounds.
 
 Words are held by 64-bit hashes: two words of the same hash would be counted as one.
 """
@@ -37,10 +37,10 @@ VOCABULARY, LEAST = 1 << 15, 8
 #: Bins of the other words by count, and classes of symbols (the last one holds the bins)
 BINS, CLASSES = 24, 128
 VECTOR, PLACES = 24, 4
-#: Training: one position in STRIDE is a target, by chance; noise draws for classes (of a batch) and symbols (of a position)
-STRIDE, ROUNDS, BATCH, NOISE, RATE, START = 4, 3, 4096, (32, 4), 0.08, 1e-3
+#: Training: noise draws are for classes (of a batch) and symbols (of a position)
+ROUNDS, BATCH, NOISE, RATE, START = 3, 4096, (32, 4), 0.08, 1e-3
 #: Targets of a round that one task trains on, about: fewer would be noise more than anything
-TARGETS = 500_000
+TARGETS = 2_000_000
 CHUNK = 8 << 20
 #: Tokens that are scored at once, and rows of class scores
 TOGETHER, CACHED = 1 << 17, 2048
@@ -339,9 +339,9 @@ class LogBilinear:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         r, a = self.p["r"], self.p["a"]
-        h = r[context[:, 0]] * a[0]
+        h = r.take(context[:, 0], axis=0) * a[0]
         for k in range(1, PLACES):
-            h += r[context[:, k]] * a[k]
+            h += r.take(context[:, k], axis=0) * a[k]
         return h
 
     def log10(self, symbols: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -387,53 +387,89 @@ class LogBilinear:
         class_cum, cum = np.cumsum(self.class_share), np.cumsum(self.class_share[self.class_of] * self.share)
         log_class, log_share = np.log(noise[0] * self.class_share).astype(f), np.log(noise[1] * self.share).astype(f)
 
-        def update(name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            at, d = rows[starts], np.add.reduceat(grads[order], starts, axis=0)
-            s = sums[name][at] + d * d
+        def update(name: str, groups: _Groups, grads: np.ndarray) -> None:
+            """grads: in the groups' order."""
+            at, d = groups.at, groups.total(grads)
+            s = sums[name].take(at, axis=0) + d * d
             sums[name][at] = s
-            p[name][at] -= rate * d / np.sqrt(s)
-            touched[name][at] += np.diff(np.r_[starts, len(rows)])
+            p[name][at] = p[name].take(at, axis=0) - rate * d / np.sqrt(s)
+            touched[name][at] += groups.times
 
         order = g.permutation(len(target))
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
-            t, ctx = target[at], context[at]
+            t, ctx = target[at], context.take(at, axis=0)
             cls = self.class_of[t]
             n = len(t)
             h = self.hidden(ctx)
             # the class: all positions are held against the same draws
             drawn = np.minimum(np.searchsorted(class_cum, g.random(noise[0]) * class_cum[-1], "right"), len(class_cum) - 1)
-            e = _sigmoid((p["q"][cls] * h).sum(1) + p["b"][cls] - log_class[cls]) - 1
+            q = p["q"].take(cls, axis=0)
+            e = _sigmoid(np.einsum("nd,nd->n", q, h) + p["b"][cls] - log_class[cls]) - 1
             d = _sigmoid(h @ p["q"][drawn].T + p["b"][drawn] - log_class[drawn])
-            dh = e[:, None] * p["q"][cls] + d @ p["q"][drawn]
-            class_rows = np.r_[cls, drawn]
+            dh = e[:, None] * q + d @ p["q"][drawn]
+            classes = _Groups(np.r_[cls, drawn], len(class_cum))
             class_grads = np.concatenate([e[:, None] * h, d.T @ h])
             class_bias = np.r_[e, d.sum(0)]
             # the symbol within it
             some = np.flatnonzero(np.diff(self.bounds)[cls] > 1)
             if len(some):
+                hs = h.take(some, axis=0)
                 lo, hi = self.bounds[cls[some]], self.bounds[cls[some] + 1]
                 low, high = np.where(lo > 0, cum[lo - 1], 0), cum[hi - 1]
                 x = np.searchsorted(cum, low[:, None] + g.random((len(some), noise[1])) * (high - low)[:, None], "right")
                 x = np.concatenate([t[some][:, None], np.clip(x, lo[:, None], hi[:, None] - 1)], axis=1)
-                wx = p["w"][x]
-                e = _sigmoid(np.einsum("nkd,nd->nk", wx, h[some]) + p["u"][x] - log_share[x])
+                wx = p["w"].take(x, axis=0)
+                e = _sigmoid(np.einsum("nkd,nd->nk", wx, hs) + p["u"].take(x) - log_share.take(x))
                 e[:, 0] -= 1
                 dh[some] += np.einsum("nk,nkd->nd", e, wx)
-                update("w", x.ravel(), (e[:, :, None] * h[some][:, None, :]).reshape(-1, h.shape[1]))
-                update("u", x.ravel(), e.ravel())
-            update("q", class_rows, class_grads)
-            update("b", class_rows, class_bias)
+                symbols = _Groups(x.ravel(), len(self.share))
+                e = e.ravel().take(symbols.order)
+                update("w", symbols, e[:, None] * hs.take(symbols.order // x.shape[1], axis=0))
+                update("u", symbols, e)
+            update("q", classes, class_grads.take(classes.order, axis=0))
+            update("b", classes, class_bias[classes.order])
+            da = np.stack([np.einsum("nd,nd->d", dh, p["r"].take(ctx[:, j], axis=0)) for j in range(PLACES)])
+            before = _Groups(ctx.T.ravel(), len(p["r"]))
             places = np.concatenate([dh * p["a"][j] for j in range(PLACES)])
-            da = np.stack([(dh * p["r"][ctx[:, j]]).sum(0) for j in range(PLACES)])
-            update("r", ctx.T.ravel(), places)
-            update("a", np.arange(PLACES), da / np.sqrt(f(n)))
+            update("r", before, places.take(before.order, axis=0))
+            update("a", _Groups(np.arange(PLACES), PLACES), da / np.sqrt(f(n)))
         return touched
 
 
+class _Groups:
+    """Numbers under size, brought into order: the distinct ones (at), how often each comes (times), and sums by them.
+
+    The distinct ones come by times, the most frequent first.
+    """
+
+    #: Members of a group that are added member by member, all groups at once
+    FEW = 16
+
+    def __init__(self, rows: np.ndarray, size: int) -> None:
+        # numbers of two bytes are sorted by radix
+        rows = rows.astype(np.uint16 if size <= 1 << 16 else np.int32)
+        self.order = np.argsort(rows, kind="stable")
+        rows = rows[self.order]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        times = np.diff(starts, append=len(rows))
+        by = np.argsort(-times, kind="stable")
+        self.starts, self.times = starts[by], times[by]
+        self.at = rows[self.starts].astype(np.int64)
+        # how many groups have more members than 0, 1, 2 and so on
+        self.more = len(times) - np.searchsorted(self.times[::-1], np.arange(self.FEW + 1), "right")
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """Sums of x, whose rows are in the order, by group."""
+        out = x.take(self.starts, axis=0)
+        many = self.more[self.FEW]
+        for k in range(1, self.FEW):
+            out[many : self.more[k]] += x.take(self.starts[many : self.more[k]] + k, axis=0)
+        for k, (at, n) in enumerate(zip(self.starts[:many].tolist(), self.times[:many].tolist())):
+            out[k] = np.add.reduce(x[at : at + n], axis=0)
+        return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -452,12 +488,14 @@ def _tokens(blobs: list[bytes], width: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), width).astype(np.int64), offsets
 
 
-#: Rows of a parameter that are sent together
-ROWS = 8192
+#: Rows of a parameter that are sent together, and the block that says how many tokens a task trained on
+ROWS, TRAINED = 8192, "trained"
+
 
+def _train(texts: DataFrame, model: LogBilinear, v: Vocabulary, share: int, width: str) -> int:
+    """One round: every task trains the model on all tokens of its training documents of this share.
 
-def _train(texts: DataFrame, model: LogBilinear, v: Vocabulary, share: int, width: str) -> None:
-    """One round: every task trains the model on its training documents of this share; what they changed is averaged.
+    What the tasks changed is averaged. Returned: how many tokens the model was trained on.
 
     A row of a parameter is averaged over the tasks that touched it, by how often. Only changes come to the driver,
     added up before by blocks of rows: as much as the model itself, whatever the number of tasks.
@@ -468,13 +506,14 @@ def _train(texts: DataFrame, model: LogBilinear, v: Vocabulary, share: int, widt
         net = LogBilinear(model.bounds, v.mass)
         net.p = {k: x.copy() for k, x in weights.items()}
         touched = {k: np.zeros(len(x), np.float32) for k, x in net.p.items()}
+        targets = 0
         sums: dict[str, np.ndarray] = {}
         for number, table in enumerate(chunked(batches, "symbols", CHUNK >> 2)):
             sym, offsets = _tokens(table.column("symbols").to_pylist(), width)
             sym = v.left_out(sym, number)
-            at = np.flatnonzero(np.random.default_rng([share, number]).random(len(sym)) < 1 / STRIDE)
-            for k, n in net.fit(sym[at], net.contexts(sym, offsets)[at], share + ROUNDS * number, sums).items():
+            for k, n in net.fit(sym, net.contexts(sym, offsets), share + ROUNDS * number, sums).items():
                 touched[k] += n
+            targets += len(sym)
         for name, n in touched.items():
             for k in range(0, len(n), ROWS):
                 at = k + np.flatnonzero(n[k : k + ROWS])
@@ -482,8 +521,12 @@ def _train(texts: DataFrame, model: LogBilinear, v: Vocabulary, share: int, widt
                     change = (net.p[name][at] - weights[name][at]).reshape(len(at), -1) * n[at, None]
                     blob = compress(struct.pack("<q", len(at)) + at.astype("<i4").tobytes() + n[at].astype("<f4").tobytes() + change.astype("<f4").tobytes(), 1)
                     yield pa.record_batch([pa.array([f"{name}{k}"]), pa.array([blob], pa.binary())], names=["block", "blob"])
+        yield pa.record_batch([pa.array([TRAINED]), pa.array([struct.pack("<q", targets)], pa.binary())], names=["block", "blob"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() == TRAINED:
+            targets = sum(struct.unpack("<q", b)[0] for b in table.column("blob").to_pylist())
+            return pa.table([pa.array([TRAINED]), pa.array([struct.pack("<q", targets)], pa.binary())], names=["block", "blob"])
         rows, n, change = (np.concatenate(x) for x in zip(*(_change(b) for b in table.column("blob").to_pylist())))
         at, which = np.unique(rows, return_inverse=True)
         sums, times = np.zeros((len(at), change.shape[1]), np.float64), np.zeros(len(at))
@@ -494,11 +537,16 @@ def _train(texts: DataFrame, model: LogBilinear, v: Vocabulary, share: int, widt
         return pa.table([pa.array([key[0].as_py()]), pa.array([compress(blob, 1)], pa.binary())], names=["block", "blob"])
 
     some = texts.where(~F.col("held_out") & (F.col("share") == share)).select("symbols")
-    some = some.coalesce(max(1, v.tokens // STRIDE // ROUNDS // TARGETS))
+    some = some.coalesce(max(1, v.tokens // ROUNDS // TARGETS))
+    trained = 0
     for r in some.mapInArrow(run, "block string, blob binary").groupBy("block").applyInArrow(add, "block string, blob binary").toLocalIterator():
+        if r["block"] == TRAINED:
+            trained = struct.unpack("<q", r["blob"])[0]
+            continue
         name = r["block"][0]
         at, _, mean = _change(bytes(r["blob"]))
         model.p[name][at] += mean.reshape(len(at), *model.p[name].shape[1:])
+    return trained
 
 
 def _change(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -527,8 +575,9 @@ def score(docs: DataFrame, held_out: Column, seed: int = 2, size: int = VOCABULA
     counts = stats.where("kind = 'counts'").select("chunk", "blob")
     texts = stage(_classify(read.where("part is null"), counts, v), "lbl-symbols")
     model = LogBilinear(class_bounds(v.mass, len(v.known)), v.mass, seed=seed)
-    for k in range(ROUNDS):
-        _train(texts, model, v, k, width)
+    trained = sum(_train(texts, model, v, k, width) for k in range(ROUNDS))
+    if trained != v.tokens:
+        raise RuntimeError(f"trained on {trained} of {v.tokens} tokens")
     weights, bounds = model.p, model.bounds
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

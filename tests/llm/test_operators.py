@@ -602,3 +602,23 @@ def test_lbl_beats_the_base_on_held_out_text(spark):
     rows = [(k, " ".join(r.choice(speak["xyz"[k % 3]]) for _ in range(200)), "", "") for k in range(700)]
     got = lbl.score(docs(spark, rows), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).where("held_out and n_known = n_tokens").collect()
     assert len(got) > 50 and sum(x["score"] for x in got) > sum(x["base_score"] for x in got) + 0.2 * sum(x["n_tokens"] for x in got)
+
+
+def test_lbl_trains_on_every_token(spark, monkeypatch):
+    """Over the rounds all tokens of the training documents are targets, and none of the held-out ones."""
+    rows = make(16, 120, 60) + EDGES
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    train, seen = lbl._train, []
+    monkeypatch.setattr(lbl, "_train", lambda *x: seen.append(train(*x)) or seen[-1])
+    got = lbl.score(docs(spark, rows).repartition(3), held, chunk=2000).collect()
+    assert sum(seen) == sum(x["n_tokens"] for x in got if not x["held_out"]) == got[0]["train_tokens"]
+
+
+def test_lbl_sums_by_group():
+    r = np.random.default_rng(5)
+    for size, rows in ((90, (r.zipf(1.3, 4000) - 1) % 90), (1 << 20, r.integers(0, 1 << 20, 500)), (3, np.array([2]))):
+        groups, x = lbl._Groups(rows, size), r.normal(0, 1, (len(rows), 5))
+        want, times = np.zeros((size, 5)), np.bincount(rows, minlength=size)
+        np.add.at(want, rows, x)
+        assert sorted(groups.at) == sorted(set(rows.tolist())) and (groups.times == times[groups.at]).all()
+        assert np.allclose(groups.total(x[groups.order]), want[groups.at]) and np.allclose(groups.total(x[groups.order, 0]), want[groups.at, 0])
