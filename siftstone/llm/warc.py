@@ -7,7 +7,8 @@ decode to exactly the payload whose digest that row carries. A reader checks eve
 first that is damaged. Neither side joins a record's chunks together.
 
 The table goes through Spark's writer, so the archives lie wherever the shared folder lies. Rows of a record are
-written one after the other, but a reader may split a file anywhere: reading deals records anew and sorts the chunks.
+written one after the other, but a reader may split a file anywhere: records of several chunks are dealt anew and their
+chunks sorted. A record of one chunk is whole wherever it is read, and stays there.
 """
 
 from __future__ import annotations
@@ -198,7 +199,9 @@ class Reader:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of an archive table, each chunk checked as it comes."""
     rows = spark.read.schema(RECORDS).parquet(path)
-    dealt = rows.repartition("archive", "record_no").sortWithinPartitions("archive", "record_no", "chunk_no")
+    # null marks are damage, which the reader of several chunks finds
+    single = F.coalesce((F.col("chunk_no") == 0) & F.col("last"), F.lit(False))
+    dealt = rows.where(~single).repartition("archive", "record_no").sortWithinPartitions("archive", "record_no", "chunk_no")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reader = None, None
@@ -211,6 +214,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if reader is not None:
                         raise ValueError(f"record {key} is cut short")
                     key, reader = at, Reader()
+                elif reader is None:
+                    raise ValueError(f"record {key} goes on after its end")
                 got = reader.feed(chunk_no[k].as_py(), data[k].as_py(), last[k].as_py(), sofar[k].as_py())
                 if got is not None:
                     out.append({"record_id": record_id[k].as_py(), **got})
@@ -219,7 +224,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         if reader is not None:
             raise ValueError(f"record {key} is cut short")
 
-    return dealt.mapInArrow(run, READ)
+    return rows.where(single).mapInArrow(run, READ).union(dealt.mapInArrow(run, READ))
 
 
 _READ_SCHEMA = pa.schema(

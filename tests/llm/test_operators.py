@@ -622,3 +622,32 @@ def test_lbl_sums_by_group():
         np.add.at(want, rows, x)
         assert sorted(groups.at) == sorted(set(rows.tolist())) and (groups.times == times[groups.at]).all()
         assert np.allclose(groups.total(x[groups.order]), want[groups.at]) and np.allclose(groups.total(x[groups.order, 0]), want[groups.at, 0])
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+def test_warc_reads_whole_records_where_they_lie(spark, tmp_path):
+    """Only records of several chunks are shuffled; damage is found on either way."""
+    r = random.Random(17)
+    rows = [(k, f"u{k}", "".join(r.choice("abcdefgh ") for _ in range(n))) for k, n in enumerate([0, 10, 1000, 2999, 3000, 3001, 9000, 20_000] * 4)]
+    path = str(tmp_path / "w")
+    warc.write(warc.plan(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)), path, chunk_bytes=3000)
+    got = warc.read(spark, path)
+    assert sorted((x["page_id"], x["payload_digest"]) for x in got.collect()) == [(k, hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows]
+    table = spark.read.parquet(path)
+    several = table.where("not (chunk_no = 0 and last)").count()
+    assert 0 < several < table.count()
+    # what lies below the only exchange is the records of several chunks
+    plan = got._jdf.queryExecution().optimizedPlan()
+    dealt = [n for n in _nodes(plan) if n.nodeName() in ("RepartitionByExpression", "Repartition")]
+    assert len(dealt) == 1
+    assert dealt[0].child().nodeName() == "Filter" and "chunk_no" in dealt[0].child().condition().toString()
+    one = table.where("chunk_no = 0 and last").limit(1)
+    for k, bad in enumerate((table.union(one), table.where("chunk_no <> 1"), table.withColumn("payload_sha1", F.lit("0")))):
+        bad.coalesce(1).sortWithinPartitions("archive", "record_no", "chunk_no").write.parquet(str(tmp_path / f"bad{k}"))
+        with pytest.raises(Exception, match="record|chunk"):
+            warc.read(spark, str(tmp_path / f"bad{k}")).collect()
