@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import decontaminate, exact_dedup, langid, mixing, shingles
+from siftstone.llm import decontaminate, exact_dedup, langid, mixing, shingles, simhash
 from siftstone.llm.common import drop_since, scratch, stage, staged
+from siftstone.llm.components import components
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +43,16 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by a similarity of 0.8 or more of their sets of five-word shingles one stays.
+    """Of rows linked by their fingerprints, or by a similarity of 0.8 or more of their sets of five-word shingles, one stays.
 
-    It is the one with the smallest doc_id; a null doc_id stays only if no linked row has another.
+    Fingerprints link as in op9, by simhash.near_dedup; the sets add the near copies that four bits do not reach, and
+    links of either kind make one component. The row that stays is the one with the smallest doc_id; a null doc_id stays only if no linked row has another.
     """
     rows = numbered(docs)
-    linked = stage(shingles.near_components(rows.select(F.col("__row").alias("id"), "text")).withColumnRenamed("id", "__row"), "linked")
+    near = simhash.near_dedup(by_row(rows).select("doc_id", "text")).where("doc_id <> component_id")
+    near = stage(near.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "near")
+    alike = shingles.near_components(rows.select(F.col("__row").alias("id"), "text")).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    linked = stage(components(near.union(alike)).withColumnRenamed("node", "__row"), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("first"))
     kept = linked.join(rows.select("__row", "doc_id"), "__row").groupBy("root").agg(first.alias("first")).select("first.__row")
     return without(rows, linked.join(kept, "__row", "left_anti")).select(docs.columns)

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.llm import langid, mixing
+from siftstone.llm import langid, mixing, simhash
 
 from .test_operators import DOCS, slow_exact, slow_hits
-from .test_shingles import slow_links
+from .test_shingles import slow_links, slow_set
 from .test_simhash import slow_components
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -93,3 +93,22 @@ def test_rows_are_judged_one_by_one(spark, tmp_path, name):
     got = dict(corpus_pipeline.STAGES)[name](spark, frame.repartition(3), str(tmp_path))
     assert got.columns == frame.columns
     assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted(kept, key=str)
+
+
+def test_near_copies_by_fingerprint_or_similarity(spark, tmp_path):
+    """Links of fingerprints count where the sets of shingles differ, links of sets where fingerprints do, and both join."""
+    r = random.Random(22)
+    say = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    again = (say(11) + " ") * 100
+    first, second = (again + say(40) for _ in range(2))
+    third = second + " " + say(8)
+    alike = say(100)
+    copies = {1: first, 2: second, 3: third, 4: alike, 5: alike + " " + say(12)}
+    fp = {k: simhash.fingerprint(t) for k, t in copies.items()}
+    jaccard = lambda a, b: len(slow_set(copies[a]) & slow_set(copies[b])) / len(slow_set(copies[a]) | slow_set(copies[b]))
+    assert (fp[1] ^ fp[2]).bit_count() <= 4 and jaccard(1, 2) < 0.8
+    assert (fp[4] ^ fp[5]).bit_count() > 4 and jaccard(4, 5) >= 0.8
+    rows = [*copies.items(), *((k, say(120)) for k in range(6, 12))]
+    frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, frame.repartition(3), str(tmp_path)).collect()
+    assert sorted(x["doc_id"] for x in got) == [1, 4, *range(6, 12)]
