@@ -1,13 +1,14 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
-Documents fall into cells (source, language, topic). Only the cells' token sums are fitted: their number is checked,
-and is that of the combinations that occur, whatever the corpus holds. Raking scales the cells until the weighted
+Documents fall into cells (source, language, topic). Only the cells' token sums are fitted, on the driver if they are
+few, else by the same steps in Spark. Raking scales the cells until the weighted
 tokens agree with the target shares of each margin. Document weights become inclusion probabilities that meet a token
 budget, and a hash of the identifier draws the sample, so a rerun after a lost executor draws the same documents.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,13 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 MARGINS = ("source", "lang", "topic")
 #: Target shares of tokens by language and by topic(); sources get their observed shares to a power
 TARGETS = {
     "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
     "topic": {"prose": 0.5, "long": 0.25, "short": 0.1, "lines": 0.1, "marked": 0.05},
 }
-#: Cells that the fit takes at most. Where more occur, the rarest values of each margin count as one
+#: Cells that the driver fits at most. Where more occur, the same fit is made in Spark
 MAX_CELLS = 100_000
 
 
@@ -149,8 +152,8 @@ def mix(
     has its target share already). A null margin is a value of its own, shown as null; documents without tokens have
     weight and probability 0. A null doc_id draws like any value; rows that share a doc_id are drawn together.
     Columns with the new names are replaced, others stay whatever their names, an empty table stays empty. given:
-    target shares by margin and value, as in TARGETS; see targets_of() for what they don't name. The cells are
-    broadcast: MAX_CELLS rows of a few words at most.
+    target shares by margin and value, as in TARGETS; see targets_of() for what they don't name. Up to MAX_CELLS cells
+    are fitted on the driver and broadcast; more are fitted in Spark and joined, with the same result but for rounding.
     """
     spark = docs.sparkSession
     new = ("n_tokens", "weight", "probability", "sampled")
@@ -166,33 +169,70 @@ def mix(
     named = [F.when(F.col(m).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(m).cast("string"))) for m in margins]
     sums = base.select("n_tokens", *(c.alias(m) for m, c in zip(margins, named)))
     sums = sums.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens"))
+    chosen = {m: {("-" if v is None else f"+{v}"): x for v, x in t.items()} for m, t in (given or {}).items()}
     held = sums.limit(MAX_CELLS + 1).toPandas()
     if len(held) > MAX_CELLS:
-        kept = _frequent(sums, margins)
-        named = [F.when(c.isin(kept[m]), c).otherwise(F.lit("*")) for m, c in zip(margins, named)]
-        coarse = [F.when(F.col(m).isin(kept[m]), F.col(m)).otherwise(F.lit("*")).alias(m) for m in margins]
-        held = sums.select("tokens", *coarse).groupBy(*margins).agg(F.sum("tokens").alias("tokens")).toPandas()
-    cells = held.sort_values(list(margins), kind="stable", ignore_index=True)
-    total = float(cells["tokens"].sum())
-    if total > 0:
-        chosen = {m: {("-" if v is None else f"+{v}"): x for v, x in t.items()} for m, t in (given or {}).items()}
-        fit = rake(cells, targets_of(cells, margins, chosen, power)).cells
-        fit["probability"] = inclusion(fit, share * total)
-        fit["weight"] = fit["weight"] * total
+        looked = _fit_many(checkpoint(sums), margins, chosen, power, share)
+        looked = looked.select(*(F.col(m).alias(f"{own}{m}") for m in margins), "weight", "probability")
     else:
-        fit = cells.assign(weight=0.0, probability=0.0)
-    table = fit[[*margins, "weight", "probability"]].rename(columns={m: f"{own}{m}" for m in margins})
-    schema = ", ".join([*[f"`{own}{m}` string" for m in margins], "weight double", "probability double"])
-    looked = spark.createDataFrame(table, schema) if len(table) else spark.createDataFrame([], schema)
+        cells = held.sort_values(list(margins), kind="stable", ignore_index=True)
+        total = float(cells["tokens"].sum())
+        if total > 0:
+            fit = rake(cells, targets_of(cells, margins, chosen, power)).cells
+            fit["probability"] = inclusion(fit, share * total)
+            fit["weight"] = fit["weight"] * total
+        else:
+            fit = cells.assign(weight=0.0, probability=0.0)
+        table = fit[[*margins, "weight", "probability"]].rename(columns={m: f"{own}{m}" for m in margins})
+        schema = ", ".join([*[f"`{own}{m}` string" for m in margins], "weight double", "probability double"])
+        looked = F.broadcast(spark.createDataFrame(table, schema) if len(table) else spark.createDataFrame([], schema))
     keys = [f"{own}{m}" for m in margins]
-    out = base.select("*", *(c.alias(k) for k, c in zip(keys, named))).join(F.broadcast(looked), keys, "left").drop(*keys)
+    out = base.select("*", *(c.alias(k) for k, c in zip(keys, named))).join(looked, keys, "left").drop(*keys)
     zero = F.col("n_tokens") == 0
     out = out.withColumns({c: F.when(zero, 0.0).otherwise(F.coalesce(c, F.lit(0.0))) for c in ("weight", "probability")})
     return out.withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("probability"))
 
 
-def _frequent(sums: DataFrame, margins: Sequence[str]) -> dict[str, list[str]]:
-    """Of each margin the values with the most tokens, as many as keep all their combinations within MAX_CELLS."""
-    n = max(1, int(MAX_CELLS ** (1 / len(margins))) - 1)
-    top = {m: sums.groupBy(m).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), m).limit(n) for m in margins}
-    return {m: [r[m] for r in t.collect()] for m, t in top.items()}
+def _targets_many(cells: DataFrame, m: str, given: Mapping[str, float] | None, power: float) -> DataFrame | None:
+    """(m, want): targets_of() for one margin of many cells."""
+    seen = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    if given is None:
+        seen = seen.withColumn("want", F.pow("t", F.lit(float(power))))
+    else:
+        table = cells.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()] or [(None, 0.0)], f"`{m}` string, named double")
+        seen = seen.join(F.broadcast(table), m, "left")
+        sums = seen.where("named is not null").agg(F.sum("named"), F.sum("t")).first()
+        if not sums[0]:
+            return None
+        seen = seen.withColumn("want", F.coalesce(F.col("named") / sums[0] * sums[1], "t"))
+    total = seen.agg(F.sum("want")).first()[0]
+    return checkpoint(seen.select(m, (F.col("want") / total).alias("want"))) if total else None
+
+
+def _fit_many(cells: DataFrame, margins: Sequence[str], given: Mapping[str, Mapping[str, float]], power: float, share: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """cells (margins, tokens) with weight and probability: targets_of(), rake() and inclusion() in Spark."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.withColumns({"weight": F.lit(0.0), "probability": F.lit(0.0)})
+    wanted = {m: w for m in margins if (w := _targets_many(cells, m, given.get(m), power)) is not None}
+    held = F.sum(F.col("tokens") * F.col("weight")).alias("have")
+    fit = checkpoint(cells.withColumn("weight", F.when(F.col("tokens") > 0, 1 / total).otherwise(0.0)))
+    for _ in range(rounds if wanted else 0):
+        for m, want in wanted.items():
+            factor = fit.groupBy(m).agg(held).where("have > 0").join(want, m).select(m, (F.col("want") / F.col("have")).alias("factor"))
+            fit = fit.join(factor, m, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
+            fit = checkpoint(fit)
+        off = [fit.groupBy(m).agg(held).join(want, m, "full").select(F.abs(F.coalesce("have", F.lit(0.0)) - F.coalesce("want", F.lit(0.0))).alias("off")) for m, want in wanted.items()]
+        if functools.reduce(DataFrame.union, off).agg(F.max("off")).first()[0] < tolerance:
+            break
+    # water-filling: each step puts more cells at 1, until none is added
+    budget, scale, n = share * total, 0.0, -1
+    while True:
+        at_one = F.col("weight") * scale >= 1
+        rest, full, now = fit.agg(F.sum(F.when(~at_one, F.col("tokens") * F.col("weight"))), F.sum(F.when(at_one, F.col("tokens"))), F.count_if(at_one)).first()
+        if now == n or not rest:
+            break
+        scale, n = max(budget - float(full or 0), 0.0) / rest, now
+    # no cell with weight is left: all are at 1
+    probability = F.least(F.col("weight") * scale, F.lit(1.0)) if rest else F.when(F.col("weight") > 0, 1.0).otherwise(0.0)
+    return fit.withColumns({"weight": F.col("weight") * total, "probability": probability})
