@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, drop_staged, stage
 
 MARGINS = ("source", "lang", "topic")
 #: Target shares of tokens by language and by topic(); sources get their observed shares to a power
@@ -216,12 +216,13 @@ def _fit_many(cells: DataFrame, margins: Sequence[str], given: Mapping[str, Mapp
         return cells.withColumns({"weight": F.lit(0.0), "probability": F.lit(0.0)})
     wanted = {m: w for m in margins if (w := _targets_many(cells, m, given.get(m), power)) is not None}
     held = F.sum(F.col("tokens") * F.col("weight")).alias("have")
-    fit = checkpoint(cells.withColumn("weight", F.when(F.col("tokens") > 0, 1 / total).otherwise(0.0)))
+    fit = stage(cells.withColumn("weight", F.when(F.col("tokens") > 0, 1 / total).otherwise(0.0)), "cells")
     for _ in range(rounds if wanted else 0):
         for m, want in wanted.items():
             factor = fit.groupBy(m).agg(held).where("have > 0").join(want, m).select(m, (F.col("want") / F.col("have")).alias("factor"))
-            fit = fit.join(factor, m, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-            fit = checkpoint(fit)
+            scaled = fit.join(factor, m, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
+            old, fit = fit, stage(scaled, "cells")
+            drop_staged(old)
         off = [fit.groupBy(m).agg(held).join(want, m, "full").select(F.abs(F.coalesce("have", F.lit(0.0)) - F.coalesce("want", F.lit(0.0))).alias("off")) for m, want in wanted.items()]
         if functools.reduce(DataFrame.union, off).agg(F.max("off")).first()[0] < tolerance:
             break
