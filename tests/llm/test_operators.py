@@ -655,7 +655,7 @@ def test_warc_reads_whole_records_where_they_lie(spark, tmp_path):
 
 @pytest.mark.parametrize("given,share", [({}, 0.6), ({"lang": {"en": 3.0, "fr": 1.0, "xx": 5.0}}, 0.9)])
 def test_many_cells_are_fitted_like_few(spark, monkeypatch, given, share):
-    rows = [(d, t, lang or "en", src or "b") for d, t, lang, src in make(18, 60)] + [(900, None, "fr", "a")]
+    rows = [(k, "word " * (1 + k % 5 * 7 + k % 3), ("en", "fr", "de")[k % 3], f"s{k % 5}") for k in range(60)] + [(900, None, "fr", "a")]
     key = lambda: sorted(((x["doc_id"], round(x["weight"], 6), round(x["probability"], 6)) for x in mixing.mix(docs(spark, rows), given, 0.5, share, margins=("source", "lang")).collect()), key=str)
     few = key()
     monkeypatch.setattr(mixing, "MAX_CELLS", 2)
