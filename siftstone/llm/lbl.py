@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -346,28 +347,36 @@ class LogBilinear:
 
     def log10(self, symbols: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each symbol after its context."""
-        h = self.hidden(context)
+        order = np.argsort(symbols.astype(_smallest(len(self.share))), kind="stable")
+        # by symbol and so by class
+        symbols = symbols[order]
         cls = self.class_of[symbols]
+        q, w = self.joined("q", "b").T, self.joined("w", "u")
+        h = np.ones((len(symbols), len(q)), np.float32)
         out = np.empty(len(h), np.float32)
         # so many rows at once that their scores stay in the processor's cache
         for k in range(0, len(h), CACHED):
-            s = h[k : k + CACHED] @ self.p["q"].T
-            s += self.p["b"]
+            some = h[k : k + CACHED]
+            some[:, :-1] = self.hidden(context.take(order[k : k + CACHED], axis=0))
+            s = some @ q
             out[k : k + CACHED] = s[np.arange(len(s)), cls[k : k + CACHED]] - _log_sum(s)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.bounds)))
+        cuts = np.searchsorted(cls, np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(cuts)):
             lo, hi = self.bounds[c], self.bounds[c + 1]
             if hi - lo == 1:
                 continue
-            w, u = self.p["w"][lo:hi].T, self.p["u"][lo:hi]
             step = max(256, CACHED * len(self.bounds) // (hi - lo))
             for k in range(cuts[c], cuts[c + 1], step):
-                some = order[k : min(k + step, cuts[c + 1])]
-                s = h[some] @ w
-                s += u
-                out[some] += s[np.arange(len(s)), symbols[some] - lo] - _log_sum(s)
-        return out / np.float32(np.log(10))
+                end = min(k + step, cuts[c + 1])
+                s = h[k:end] @ w[lo:hi].T
+                out[k:end] += s[np.arange(len(s)), symbols[k:end] - lo] - _log_sum(s)
+        got = np.empty_like(out)
+        got[order] = out / np.float32(np.log(10))
+        return got
+
+    def joined(self, vectors: str, bias: str) -> np.ndarray:
+        """Rows with their bias at the end, which meets a 1 at the end of h."""
+        return np.c_[self.p[vectors], self.p[bias]]
 
     def fit(self, target: np.ndarray, context: np.ndarray, seed: int, sums: dict[str, np.ndarray] | None = None, noise: tuple[int, int] = NOISE, rate: float = RATE) -> dict[str, np.ndarray]:
         """One pass of noise-contrastive estimation over (target, context); Adagrad on what each batch touches.
@@ -380,62 +389,113 @@ class LogBilinear:
         p, f = self.p, np.float32
         g = np.random.default_rng(seed)
         sums = {} if sums is None else sums
-        for k, x in p.items():
+        rows = {"r": p["r"], "a": p["a"], "q": self.joined("q", "b"), "w": self.joined("w", "u")}
+        for k, x in rows.items():
             sums.setdefault(k, np.full(x.shape, START, f))
         batch = int(np.clip(len(target) // 64, 256, BATCH))
-        touched = {k: np.zeros(len(x), f) for k, x in p.items()}
-        class_cum, cum = np.cumsum(self.class_share), np.cumsum(self.class_share[self.class_of] * self.share)
+        touched = {k: np.zeros(len(x), f) for k, x in rows.items()}
+        class_cum = np.cumsum(self.class_share)
         log_class, log_share = np.log(noise[0] * self.class_share).astype(f), np.log(noise[1] * self.share).astype(f)
-
-        def update(name: str, groups: _Groups, grads: np.ndarray) -> None:
-            """grads: in the groups' order."""
-            at, d = groups.at, groups.total(grads)
-            s = sums[name].take(at, axis=0) + d * d
-            sums[name][at] = s
-            p[name][at] = p[name].take(at, axis=0) - rate * d / np.sqrt(s)
-            touched[name][at] += groups.times
+        sizes = np.diff(self.bounds)
+        kind = _smallest(len(self.share))
+
+        def update(name: str, at: np.ndarray, times: np.ndarray, d: np.ndarray) -> None:
+            # whole rows are written at once, and few enough to stay in the processor's cache
+            to, to_sums = _whole_rows(rows[name]), _whole_rows(sums[name])
+            for k in range(0, len(at), CACHED >> 1):
+                i, x = at[k : k + (CACHED >> 1)], d[k : k + (CACHED >> 1)]
+                s = sums[name].take(i, axis=0)
+                s += x * x
+                to_sums[i] = _whole_rows(s)
+                np.sqrt(s, out=s)
+                np.divide(x, s, out=s)
+                s *= rate
+                to[i] = _whole_rows(rows[name].take(i, axis=0) - s)
+            touched[name][at] += times
 
         order = g.permutation(len(target))
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
-            t, ctx = target[at], context.take(at, axis=0)
+            # by symbol and so by class
+            at = at[np.argsort(target[at].astype(kind), kind="stable")]
+            t, ctx = target[at], context.take(at, axis=0).T.ravel()
             cls = self.class_of[t]
             n = len(t)
-            h = self.hidden(ctx)
+            near = rows["r"].take(ctx, axis=0).reshape(PLACES, n, -1)
+            h = np.ones((n, near.shape[2] + 1), f)
+            np.einsum("knd,kd->nd", near, rows["a"], out=h[:, :-1])
             # the class: all positions are held against the same draws
             drawn = np.minimum(np.searchsorted(class_cum, g.random(noise[0]) * class_cum[-1], "right"), len(class_cum) - 1)
-            q = p["q"].take(cls, axis=0)
-            e = _sigmoid(np.einsum("nd,nd->n", q, h) + p["b"][cls] - log_class[cls]) - 1
-            d = _sigmoid(h @ p["q"][drawn].T + p["b"][drawn] - log_class[drawn])
-            dh = e[:, None] * q + d @ p["q"][drawn]
-            classes = _Groups(np.r_[cls, drawn], len(class_cum))
-            class_grads = np.concatenate([e[:, None] * h, d.T @ h])
-            class_bias = np.r_[e, d.sum(0)]
+            q, others = rows["q"].take(cls, axis=0), rows["q"][drawn]
+            others[:, -1] -= log_class[drawn]
+            e = _sigmoid(np.einsum("nd,nd->n", q, h) - log_class[cls]) - 1
+            d = _sigmoid(h @ others.T)
+            dh = d @ others[:, :-1]
+            dh += e[:, None] * q[:, :-1]
+            grads = (np.arange(len(class_cum))[:, None] == drawn).astype(f) @ (d.T @ h)
+            cuts = np.searchsorted(cls, np.arange(len(grads) + 1))
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                grads[c] += e[cuts[c] : cuts[c + 1]] @ h[cuts[c] : cuts[c + 1]]
+            update("q", np.arange(len(grads)), np.diff(cuts) + np.bincount(drawn, minlength=len(grads)), grads)
             # the symbol within it
-            some = np.flatnonzero(np.diff(self.bounds)[cls] > 1)
+            some = np.flatnonzero(sizes[cls] > 1)
             if len(some):
-                hs = h.take(some, axis=0)
-                lo, hi = self.bounds[cls[some]], self.bounds[cls[some] + 1]
-                low, high = np.where(lo > 0, cum[lo - 1], 0), cum[hi - 1]
-                x = np.searchsorted(cum, low[:, None] + g.random((len(some), noise[1])) * (high - low)[:, None], "right")
-                x = np.concatenate([t[some][:, None], np.clip(x, lo[:, None], hi[:, None] - 1)], axis=1)
-                wx = p["w"].take(x, axis=0)
-                e = _sigmoid(np.einsum("nkd,nd->nk", wx, hs) + p["u"].take(x) - log_share.take(x))
+                hs = h if len(some) == n else h.take(some, axis=0)
+                x = np.empty((len(some), 1 + noise[1]), np.int64)
+                x[:, 0], x[:, 1:] = t[some], self.draws(cls[some], g.random((len(some), noise[1])))
+                wx = rows["w"].take(x, axis=0)
+                e = _sigmoid(np.einsum("nkd,nd->nk", wx, hs) - log_share.take(x))
                 e[:, 0] -= 1
-                dh[some] += np.einsum("nk,nkd->nd", e, wx)
+                back = np.einsum("nk,nkd->nd", e, wx[:, :, :-1])
+                if len(some) == n:
+                    dh += back
+                else:
+                    dh[some] += back
                 symbols = _Groups(x.ravel(), len(self.share))
-                e = e.ravel().take(symbols.order)
-                update("w", symbols, e[:, None] * hs.take(symbols.order // x.shape[1], axis=0))
-                update("u", symbols, e)
-            update("q", classes, class_grads.take(classes.order, axis=0))
-            update("b", classes, class_bias[classes.order])
-            da = np.stack([np.einsum("nd,nd->d", dh, p["r"].take(ctx[:, j], axis=0)) for j in range(PLACES)])
-            before = _Groups(ctx.T.ravel(), len(p["r"]))
-            places = np.concatenate([dh * p["a"][j] for j in range(PLACES)])
-            update("r", before, places.take(before.order, axis=0))
-            update("a", _Groups(np.arange(PLACES), PLACES), da / np.sqrt(f(n)))
+                update("w", symbols.at, symbols.times, symbols.total(hs, symbols.order // x.shape[1], e.ravel().take(symbols.order)))
+            before = _Groups(ctx, len(p["r"]))
+            da = np.stack([np.einsum("nd,nd->d", dh, x) for x in near])
+            update("r", before.at, before.times, before.total((dh * rows["a"][:, None]).reshape(len(ctx), -1), before.order))
+            update("a", np.arange(PLACES), np.ones(PLACES, f), da / np.sqrt(f(n)))
+        for vectors, bias, name in (("q", "b", "q"), ("w", "u", "w")):
+            p[vectors][:], p[bias][:] = rows[name][:, :-1], rows[name][:, -1]
+            touched[bias] = touched[name]
         return touched
 
+    @cached_property
+    def alias(self) -> tuple[np.ndarray, np.ndarray]:
+        """Walker's tables of the symbols of each class: how much of a symbol's cell is its own, and whose the rest is."""
+        own, other = np.ones(len(self.share)), np.arange(len(self.share))
+        for lo, hi in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            left = (self.share[lo:hi] / self.share[lo:hi].sum() * (hi - lo)).tolist()
+            low, high = [k for k, x in enumerate(left) if x < 1], [k for k, x in enumerate(left) if x >= 1]
+            while low and high:
+                k, m = low.pop(), high[-1]
+                own[lo + k], other[lo + k] = left[k], lo + m
+                left[m] -= 1 - left[k]
+                if left[m] < 1:
+                    low.append(high.pop())
+        return own, other
+
+    def draws(self, cls: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Symbols of the classes by their shares; u: a row of numbers from 0 to 1 for each."""
+        own, other = self.alias
+        lo, n = self.bounds[cls][:, None], np.diff(self.bounds)[cls][:, None]
+        u = u * n
+        cell = np.minimum(u.astype(np.int64), n - 1)
+        u -= cell
+        cell += lo
+        return np.where(u < own.take(cell), cell, other.take(cell))
+
+
+def _whole_rows(x: np.ndarray) -> np.ndarray:
+    return x.view(f"V{x.shape[1] * x.itemsize}").ravel()
+
+
+def _smallest(size: int) -> type:
+    """Of numbers under size; those of two bytes are sorted by radix."""
+    return np.uint16 if size <= 1 << 16 else np.int32
+
 
 class _Groups:
     """Numbers under size, brought into order: the distinct ones (at), how often each comes (times), and sums by them.
@@ -447,39 +507,62 @@ class _Groups:
     FEW = 16
 
     def __init__(self, rows: np.ndarray, size: int) -> None:
-        # numbers of two bytes are sorted by radix
-        rows = rows.astype(np.uint16 if size <= 1 << 16 else np.int32)
+        rows = rows.astype(_smallest(size))
         self.order = np.argsort(rows, kind="stable")
         rows = rows[self.order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         times = np.diff(starts, append=len(rows))
-        by = np.argsort(-times, kind="stable")
+        by = np.argsort((len(rows) - times).astype(_smallest(len(rows))), kind="stable")
         self.starts, self.times = starts[by], times[by]
         self.at = rows[self.starts].astype(np.int64)
         # how many groups have more members than 0, 1, 2 and so on
         self.more = len(times) - np.searchsorted(self.times[::-1], np.arange(self.FEW + 1), "right")
 
-    def total(self, x: np.ndarray) -> np.ndarray:
-        """Sums of x, whose rows are in the order, by group."""
-        out = x.take(self.starts, axis=0)
+    def total(self, x: np.ndarray, rows: np.ndarray | None = None, factor: np.ndarray | None = None) -> np.ndarray:
+        """Sums by group of x, whose rows are in the order; or of factor[i] * x[rows[i]], where i is the order."""
+
+        def members(at: np.ndarray) -> np.ndarray:
+            if rows is None:
+                return x.take(at, axis=0)
+            got = x.take(rows.take(at), axis=0)
+            if factor is not None:
+                got *= factor.take(at)[:, None]
+            return got
+
+        out = members(self.starts)
         many = self.more[self.FEW]
         for k in range(1, self.FEW):
-            out[many : self.more[k]] += x.take(self.starts[many : self.more[k]] + k, axis=0)
+            if self.more[k] > many:
+                out[many : self.more[k]] += members(self.starts[many : self.more[k]] + k)
+        ones = np.ones(self.times[0], x.dtype)
         for k, (at, n) in enumerate(zip(self.starts[:many].tolist(), self.times[:many].tolist())):
-            out[k] = np.add.reduce(x[at : at + n], axis=0)
+            of = x[at : at + n] if rows is None else x.take(rows[at : at + n], axis=0)
+            out[k] = (ones[:n] if factor is None else factor[at : at + n]) @ of
         return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """x is overwritten."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+#: exp of scores up to this size, and sums of it, are neither infinite nor zero
+PLAIN = 60
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
     """log of the sum of exp of each row; s is overwritten."""
-    m = s.max(axis=1)
-    s -= m[:, None]
+    m = None
+    if not -PLAIN <= s.min() <= s.max() <= PLAIN:
+        m = s.max(axis=1)
+        s -= m[:, None]
     np.exp(s, out=s)
-    return m + np.log(s.sum(axis=1))
+    out = np.log(s @ np.ones(s.shape[1], s.dtype))
+    return out if m is None else out + m
 
 
 def _tokens(blobs: list[bytes], width: str) -> tuple[np.ndarray, np.ndarray]:

@@ -568,6 +568,116 @@ def test_lbl_score_matches_slow():
     assert np.allclose(got, np.concatenate([slow_log10(net, t) for t in texts]), atol=1e-4)
 
 
+def slow_fit(net, target, context, seed, noise=lbl.NOISE, rate=lbl.RATE):
+    """The pass of fit: each parameter by itself, members of a row added one by one, all in double precision."""
+    p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    sums, touched = {k: np.full(x.shape, lbl.START) for k, x in p.items()}, {k: np.zeros(len(x)) for k, x in p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    g = np.random.default_rng(seed)
+    order, cum = g.permutation(len(target)), np.cumsum(net.class_share)
+    batch = int(np.clip(len(target) // 64, 256, lbl.BATCH))
+    for k in range(0, len(order), batch):
+        at = order[k : k + batch]
+        at = at[np.argsort(target[at], kind="stable")]
+        grads = {k: np.zeros_like(x) for k, x in p.items()}
+        times = {k: np.zeros(len(x)) for k, x in p.items()}
+
+        def add(name, row, grad, grads=grads, times=times):
+            grads[name][row] += grad
+            times[name][row] += 1
+
+        drawn = np.minimum(np.searchsorted(cum, g.random(noise[0]) * cum[-1], "right"), len(cum) - 1)
+        cls = net.class_of[target[at]]
+        several = np.flatnonzero(np.diff(net.bounds)[cls] > 1)
+        others = dict(zip(several.tolist(), net.draws(cls[several], g.random((len(several), noise[1])))))
+        for c in drawn:
+            times["q"][c] += 1
+            times["b"][c] += 1
+        for i, (t, ctx, c) in enumerate(zip(target[at], context[at], cls)):
+            h = (p["a"] * p["r"][ctx]).sum(0)
+            dh = np.zeros(len(h))
+            for n, (k, real) in enumerate([(c, 1), *((x, 0) for x in drawn)]):
+                e = sigmoid(p["q"][k] @ h + p["b"][k] - np.log(noise[0] * net.class_share[k])) - real
+                dh += e * p["q"][k]
+                grads["q"][k] += e * h
+                grads["b"][k] += e
+                if not n:
+                    times["q"][k] += 1
+                    times["b"][k] += 1
+            for n, s in enumerate([t, *others[i]] if i in others else []):
+                e = sigmoid(p["w"][s] @ h + p["u"][s] - np.log(noise[1] * net.share[s])) - (n == 0)
+                dh += e * p["w"][s]
+                add("w", s, e * h)
+                add("u", s, e)
+            for j in range(lbl.PLACES):
+                add("r", ctx[j], dh * p["a"][j])
+                grads["a"][j] += dh * p["r"][ctx[j]] / math.sqrt(len(at))
+        times["a"] += 1
+        for name in p:
+            sums[name] += grads[name] ** 2
+            p[name] -= rate * grads[name] / np.sqrt(sums[name])
+            touched[name] += times[name]
+    return p, touched
+
+
+def test_lbl_fit_matches_slow():
+    """Batches that aren't full, classes of one symbol, and rows that many positions share."""
+    r, net = toy_model(3)
+    lone = lbl.LogBilinear(np.unique(np.r_[0, 1, 2, net.bounds[1:]]), net.share * net.class_share[net.class_of] * 1e5, vector=6)
+    for model in (net, lone):
+        text = np.minimum(r.zipf(1.3, 600) - 1, 323)
+        context = model.contexts(text, np.array([0, 1, 40, 600]))
+        want, times = slow_fit(model, text, context, 4)
+        touched = model.fit(text, context, 4)
+        for name, x in want.items():
+            assert np.allclose(model.p[name], x, atol=2e-3), name
+            assert np.abs(model.p[name] - x).mean() < 2e-5 and (touched[name] == times[name]).all(), name
+
+
+def test_lbl_noise_has_the_shares_of_its_class():
+    r, net = toy_model(4)
+    c = len(net.bounds) // 2
+    lo, hi = net.bounds[c], net.bounds[c + 1]
+    got = net.draws(np.full(50_000, c), r.random((50_000, 4)))
+    assert got.min() >= lo and got.max() < hi
+    share = net.share[lo:hi]
+    assert np.abs(np.bincount(got.ravel() - lo, minlength=hi - lo) / got.size - share).max() < 0.004
+    # exactly: a symbol has its own part of its cell and the rest of others
+    own, other = net.alias
+    for lo, hi in zip(net.bounds[:-1], net.bounds[1:]):
+        parts = own[lo:hi].copy()
+        np.add.at(parts, other[lo:hi] - lo, 1 - own[lo:hi])
+        assert np.allclose(parts / (hi - lo), net.share[lo:hi] / net.share[lo:hi].sum())
+
+
+def test_lbl_sums_of_extreme_scores():
+    s = np.array([[0, 1, 2], [-500, -501, -499], [500, 1, 499], [59, -59, 0]], np.float32)
+    want = np.logaddexp.reduce(s.astype(np.float64), axis=1)
+    assert np.allclose(lbl._log_sum(s.copy()), want) and np.allclose(lbl._log_sum(s[[0, 3]].copy()), want[[0, 3]])
+
+
+def test_lbl_work_of_a_token(monkeypatch):
+    """Noise is drawn without a search for each draw, only symbols and contexts are grouped, usual scores aren't shifted."""
+    r, net = toy_model(5)
+    text = r.integers(0, 324, 2000)
+    needles, members, shifted = [], [], []
+    search, groups = np.searchsorted, lbl._Groups
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **k: needles.append(np.size(v)) or search(a, v, *x, **k))
+    monkeypatch.setattr(lbl, "_Groups", lambda rows, size: members.append(len(rows)) or groups(rows, size))
+    net.fit(text, net.contexts(text, np.array([0, len(text)])), 1)
+    assert sum(needles) < len(text) and sum(members) <= len(text) * (lbl.PLACES + 1 + lbl.NOISE[1])
+
+    class Watched(np.ndarray):
+        def max(self, axis=None, **k):
+            shifted.append(axis)
+            return super().max(axis, **k)
+
+    s = r.normal(0, 4, (50, 9)).astype(np.float32)
+    assert np.allclose(lbl._log_sum(s.copy().view(Watched)), np.logaddexp.reduce(s, axis=1), atol=1e-5) and 1 not in shifted
+    lbl._log_sum((100 * s).view(Watched))
+    assert 1 in shifted
+
+
 def test_lbl_learns_what_follows():
     """Each symbol of the text is followed by one of few; training lifts them far above their shares."""
     r, net = toy_model(2)
