@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = numbered(docs)
     near = simhash.near_dedup(by_row(rows).select("doc_id", "text")).where("doc_id <> component_id")
     near = stage(near.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "near")
-    alike = shingles.near_components(rows.select(F.col("__row").alias("id"), "text")).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    alike = shingles.near_links(rows.select(F.col("__row").alias("id"), "text"))
     linked = stage(components(near.union(alike)).withColumnRenamed("node", "__row"), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("first"))
     kept = linked.join(rows.select("__row", "doc_id"), "__row").groupBy("root").agg(first.alias("first")).select("first.__row")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, compress, expand, stage
+from .common import chunked, compress, each, expand, lean, stage
 
 #: Bytes that separate words: all of ASCII but digits and letters
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -55,7 +55,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None, shard_bytes: int = SH
             ids: dict[bytes, int] = {t: i for i, t in enumerate(sorted(terms))} if terms is not None else {}
             found, sizes = [], []
             base = 0
-            for text in table.column("text").to_pylist():
+            for text in each(table.column("text")):
                 w = words(text)
                 if terms is None:
                     codes = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
@@ -85,7 +85,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None, shard_bytes: int = SH
                 names=["shard", "term", "n", "postings"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "spark_partition_id() as part").mapInArrow(run, "shard string, term binary, n bigint, postings binary")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "spark_partition_id() as part").mapInArrow(lean(run), "shard string, term binary, n bigint, postings binary")
 
 
 def _encode(at: np.ndarray) -> bytes:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, drop_staged, stage
+from .common import checkpoint, drop_staged, local_table, stage
 
 MARGINS = ("source", "lang", "topic")
 #: Target shares of tokens by language and by topic(); sources get their observed shares to a power
@@ -184,8 +184,8 @@ def mix(
         else:
             fit = cells.assign(weight=0.0, probability=0.0)
         table = fit[[*margins, "weight", "probability"]].rename(columns={m: f"{own}{m}" for m in margins})
-        schema = ", ".join([*[f"`{own}{m}` string" for m in margins], "weight double", "probability double"])
-        looked = F.broadcast(spark.createDataFrame(table, schema) if len(table) else spark.createDataFrame([], schema))
+        kinds = dict.fromkeys((f"{own}{m}" for m in margins), "string") | {"weight": "double", "probability": "double"}
+        looked = F.broadcast(local_table(spark, table, kinds))
     keys = [f"{own}{m}" for m in margins]
     out = base.select("*", *(c.alias(k) for k, c in zip(keys, named))).join(looked, keys, "left").drop(*keys)
     zero = F.col("n_tokens") == 0
@@ -199,7 +199,7 @@ def _targets_many(cells: DataFrame, m: str, given: Mapping[str, float] | None, p
     if given is None:
         seen = seen.withColumn("want", F.pow("t", F.lit(float(power))))
     else:
-        table = cells.sparkSession.createDataFrame([(v, float(x)) for v, x in given.items()] or [(None, 0.0)], f"`{m}` string, named double")
+        table = local_table(cells.sparkSession, {m: list(given), "named": [float(x) for x in given.values()]}, {m: "string", "named": "double"})
         seen = seen.join(F.broadcast(table), m, "left")
         sums = seen.where("named is not null").agg(F.sum("named"), F.sum("t")).first()
         if not sums[0]:

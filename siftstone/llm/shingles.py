@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, checkpoint, chunked, drop_staged, expand, pack_batch, stage, text_bytes
+from .common import bucket_count, checkpoint, chunked, drop_staged, each, expand, lean, pack_batch, stage, text_bytes
 from .components import components
 from .simhash import word_hashes
 
@@ -58,10 +58,13 @@ def common_shingles(docs: DataFrame, width: int, chunk: int = 8 << 20) -> np.nda
 
     def run(batches):
         for table in chunked(batches, "text", chunk):
-            keys, n = np.unique(np.concatenate([shingle_set(t, width) for t in table.column("text").to_pylist()]), return_counts=True)
-            yield pa.record_batch([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+            keys = np.concatenate([shingle_set(t, width) for t in each(table.column("text"))])
+            keys.sort()
+            again = keys[1:][keys[1:] == keys[:-1]]
+            keys, n = np.unique(again, return_counts=True)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64) + 1)], names=["key", "n"])
 
-    met = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    met = docs.select("text").mapInArrow(lean(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
     found = met.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()["key"].to_numpy(np.int64)
     return found[::-1].copy().view(np.uint64)
 
@@ -81,11 +84,11 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray, buckets: int, chun
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             last = np.where(known[at] == h, sorted_at[at] + 1, 0)
             h = h[np.argsort(last, kind="stable")]
-        return h[:size], len(h)
+        return h[:size].copy(), len(h)
 
     def run(batches):
         for table in chunked(batches, "text", chunk):
-            got = [first(t) for t in table.column("text").to_pylist()]
+            got = [first(t) for t in each(table.column("text"))]
             sizes = [len(h) for h, _ in got]
             if not sum(sizes):
                 continue
@@ -103,7 +106,7 @@ def prefixes(docs: DataFrame, width: int, common: np.ndarray, buckets: int, chun
                 blobs.append(pack_batch(pa.record_batch([pa.array(c) for c in columns], names=["key", "id", "n", "at"])))
             yield pa.record_batch([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    return docs.select("id", "text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("id", "text").mapInArrow(lean(run), "bucket int, blob binary")
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
@@ -157,12 +160,15 @@ def sketched(docs: DataFrame, ids: DataFrame, width: int, keep_text: bool) -> Da
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            new = [pa.array([len(h) for h in sets], pa.int32()), pa.array([parities(h) for h in sets], pa.binary())]
+            n, bits = [], []
+            for h in (shingle_set(t, width) for t in each(batch.column(1))):
+                n.append(len(h))
+                bits.append(parities(h))
+            new = [pa.array(n, pa.int32()), pa.array(bits, pa.binary())]
             yield pa.record_batch([batch.column(0), *new, *[batch.column(1)] * keep_text], names=["id", "n", "bits", "text"][: 3 + keep_text])
 
     some = docs.join(ids.select("id").distinct(), "id", "left_semi").select("id", "text")
-    return stage(some.mapInArrow(run, "id bigint, n int, bits binary" + ", text string" * keep_text), "sketched")
+    return stage(some.mapInArrow(lean(run), "id bigint, n int, bits binary" + ", text string" * keep_text), "sketched")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -179,7 +185,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         sets = functools.lru_cache(maxsize=64)(lambda text: shingle_set(text, width))
         for batch in batches:
             keep = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for s, t in zip(each(batch.column(2)), each(batch.column(3))):
                 x, y = sets(s), sets(t)
                 keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -189,8 +195,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             pairs = pairs.join(texts.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
         return pairs.select("a", "b", *(f"{c}_{end}" for end in ("a", "b") for c in columns))
 
-    left = stage(with_both(pairs, "n", "bits").mapInArrow(likely, "a bigint, b bigint"), "likely")
-    out = stage(with_both(left, "text").mapInArrow(settle, "a bigint, b bigint"), "near-links")
+    left = stage(with_both(pairs, "n", "bits").mapInArrow(lean(likely), "a bigint, b bigint"), "likely")
+    out = stage(with_both(left, "text").mapInArrow(lean(settle), "a bigint, b bigint"), "near-links")
     drop_staged(texts)
     drop_staged(left)
     return out
@@ -260,10 +266,15 @@ def _rooted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(id, root) for the rows of docs (id bigint, unique and not null; text) that are linked to another row.
+    """(id, root) for the rows of docs that are linked to another row, by near_links(); root is the smallest id reachable."""
+    return _named(near_links(docs, width))
 
-    Rows are linked if their shingle sets are similar; root is the smallest id reachable. Rows without words have no
-    links; texts of fewer than width words have one shingle. An empty table gives no rows.
+
+def near_links(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(a, b) of similar rows of docs (id bigint, unique and not null; text), enough of them to reach all from each other.
+
+    Rows are linked if their shingle sets are similar; a link between rows that others join already may be left out.
+    Rows without words have no links; texts of fewer than width words have one shingle. An empty table gives no rows.
     """
     buckets = bucket_count(docs.sparkSession, text_bytes(docs), 16 << 20)
     shared = stage(shared_keys(prefixes(docs, width, common_shingles(docs, width), buckets)), "shared")
@@ -293,4 +304,4 @@ def near_components(docs: DataFrame, width: int = 5) -> DataFrame:
     crowded = crowded_pairs(docs, left.where(F.col("crowd") > FEW).select("key", "id", "root", "crowd"), width)
     more = verified(docs, checkpoint(joined.union(crowded).distinct()), width)
     drop_staged(rooted)
-    return _named(found.union(more))
+    return found.union(more)

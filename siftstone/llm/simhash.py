@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, stage
+from .common import checkpoint, each, lean, stage
 from .components import components
 
 BITS = 64
@@ -51,10 +51,10 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            out = np.fromiter((fingerprint(t, width) for t in each(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(lean(run), "doc_id bigint, fp bigint")
 
 
 #: (first bit, bits) of each segment
