@@ -137,6 +137,16 @@ def test_highlights():
     assert highlights.sentences("Label: some words that follow it here now.\n- an item of the list with words here") == []
 
 
+@pytest.mark.parametrize("lead", ["Text of that end.", "As palavras nasc de cionasco."])
+def test_signed_paragraph(analyst, lead):
+    """What another paragraph ends with says nothing of a date whose own line does; a line right above still does."""
+    filler = "Some words of a text.\n" * 30
+    assert analyst.reader.own(f"{filler}{lead}\n\nPorto Alegre, 17 de abril de 2026.") == ("2026-04-17", 4)
+    assert analyst.reader.own(f"{filler}{lead}\n\nAos onze dias do mês de maio do ano de dois mil e dezoito, encerrou a sessão.") == ("2018-05-11", 4)
+    assert analyst.reader.own(f"{filler}nascimento\nPorto Alegre, 17 de abril de 2026.") == ("2026-04-17", 1)
+    assert analyst.reader.own(f"{filler}Due\n\n2030-01-01") is None
+
+
 def test_analyze_table(spark):
     rows = [(1, "Plans of the small town\nTown Council\nOslo, 1 June 2030", "txt", None), (2, None, None, "x"), (3, "", "md", None)]
     df = spark.createDataFrame(rows, "id long, text string, ext string, kind string")
