@@ -147,6 +147,14 @@ def test_signed_paragraph(analyst, lead):
     assert analyst.reader.own(f"{filler}Due\n\n2030-01-01") is None
 
 
+def test_entity_far_down():
+    """A party is found wherever its line stands, and a declaration wherever it is made."""
+    far = "A line of the text that says nothing of it.\n" * 2000
+    assert titles.main_entity(f"{far}Client: Vera Blum, of Ulm", None) == "Vera Blum"
+    assert titles.main_entity(f"{far}Eu, Marta Reis, declaro", None) == "Marta Reis"
+    assert titles.main_entity(f"{far}Town Council of Ulm", None) is None
+
+
 def test_analyze_table(spark):
     rows = [(1, "Plans of the small town\nTown Council\nOslo, 1 June 2030", "txt", None), (2, None, None, "x"), (3, "", "md", None)]
     df = spark.createDataFrame(rows, "id long, text string, ext string, kind string")
