@@ -1,8 +1,9 @@
 """Dates, titles, owners, sentences and names of documents, on papers with known answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from siftstone.docinfo import analyze, dates, highlights, months, titles
+from siftstone.docinfo import analyze, columns, dates, highlights, months, titles
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +156,15 @@ def test_entity_far_down():
     assert titles.main_entity(f"{far}Town Council of Ulm", None) is None
 
 
+def test_sentences_keep_their_digits(spark):
+    """A sentence isn't trimmed of the digits of its own number, and is of its spaces."""
+    text = "Zero words stand in this one.\n1 river and 1 bridge make up 1\n23.5 boats went over to town 2 "
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert rows.select(columns.sentences(F.col("text")).alias("s")).first()["s"] == ["Zero words stand in this one.", "1 river and 1 bridge make up 1", "23.5 boats went over to town 2"]
+    got = {(x["sentence"], x["term"]) for x in columns.tfidf(rows).collect()}
+    assert (2, "23") in got and (2, "3") not in got
+
+
 def test_analyze_table(spark):
     rows = [(1, "Plans of the small town\nTown Council\nOslo, 1 June 2030", "txt", None), (2, None, None, "x"), (3, "", "md", None)]
     df = spark.createDataFrame(rows, "id long, text string, ext string, kind string")
