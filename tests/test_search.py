@@ -140,3 +140,23 @@ def test_both_bands(spark):
     c = spark.createDataFrame([("/b", 0.5), ("/c", 9.0), ("/a", 9.0)], "path string, score double")
     got = [(r["path"], r["match_kind"], r["score"]) for r in search.search_both(n, c).collect()]
     assert got == [("/b", "both", 2.0), ("/n", "name", 1.0), ("/a", "body", 9.0), ("/c", "body", 9.0)]
+
+
+def test_index_in_parts(spark, tmp_path, monkeypatch):
+    """A query writes the parts that it reads, and each part equals that of a whole index; rows of one path are one document."""
+    rows = [("/a/Red Boat.md", "the boats of 天气预报"), ("/a/boat.txt", "a boat"), ("/a/boat.txt", "a boat of المدينة"), ("/a/none.txt", None), ("/a/signs.txt", "?!")]
+    f = files(spark, [(p, k) for k, (p, _) in enumerate(rows)]).withColumn("text", F.element_at(F.array(*(F.lit(t) for _, t in rows)), (F.col("mtime") + 1).cast("int")))
+    source = str(tmp_path / "source")
+    f.write.parquet(source)
+    f = spark.read.parquet(source)
+    monkeypatch.setattr(index.shared, "shared_dir", lambda _: str(tmp_path))
+    whole = index.build(f, str(tmp_path / "whole"))
+    held = lambda df: sorted(map(str, df.collect()))
+    assert {r["path"]: r["dl"] for r in whole.lengths.collect()} == {"/a/Red Boat.md": 10, "/a/boat.txt": 6}
+    assert {r["term"]: r["df"] for r in whole.vocab.collect()}["boat"] == 1
+    there = lambda: set(index.shared.names(spark, index.path_of(f)))
+    for table, parts in (("grams", {"names"}), ("vocab", {"vocab", "names"}), ("lengths", {"vocab", "names", "lengths"}), ("postings", {"vocab", "names", "lengths", "postings"})):
+        assert held(getattr(index.of(f, f), table)) == held(getattr(whole, table)), table
+        assert there() == parts
+    for table in ("lengths", "vocab", "stats", "postings"):
+        assert held(getattr(index.open_(spark, index.path_of(f)), table).select(getattr(whole, table).columns)) == held(getattr(whole, table)), table
