@@ -172,3 +172,15 @@ def test_analyze_table(spark):
     assert got[1]["date"] == "2030-06-01" and got[1]["title"] == "Plans of the small town" and got[1]["kind"] is None
     assert got[2]["suggested_name"] == "documento" and got[3]["suggested_name"] == "documento.md"
     assert analyze.analyze(df.limit(0)).collect() == []
+
+
+def test_analyze_only(spark):
+    """Columns that are asked for alone are those of the whole result; others of the table stay."""
+    text = "The river ran by the old stone bridge. The bridge was built of old stone by the town.\nOslo, 1 June 2030"
+    df = spark.createDataFrame([(1, text, "x"), (2, None, None)], "id long, text string, title string")
+    whole = {x["id"]: x for x in analyze.analyze(df).collect()}
+    some = analyze.analyze(df, ("highlights",))
+    assert some.columns == ["id", "text", "title", "highlights"]
+    assert {x["id"]: (x["title"], x["highlights"]) for x in some.collect()} == {1: ("x", whole[1]["highlights"]), 2: (None, None)}
+    date = analyze.analyze(df, ("date", "date_score")).collect()
+    assert {x["id"]: (x["date"], x["date_score"]) for x in date} == {k: (x["date"], x["date_score"]) for k, x in whole.items()}
